@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tenderloom.functions.numbers import clamp
 from tenderloom.functions.reasons import prefixed, signal_label
 from tenderloom.functions.text import NORM_STEPS, joined_record_text, text_of
+from tenderloom.operators.staging import computed_once
 from tenderloom.rules import DEFAULT_RULES, RuleSet, code_regex, keyword_regex
 from tenderloom.schema import CODE, KIND, TITLE
 
@@ -29,12 +30,6 @@ RESULT_COLUMNS = (
 )
 
 
-def _computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns through a generator, so that filters on anything derived from
-    them stay above it and Catalyst never copies the regexes into a filter."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def _no_hits() -> Column:
     return F.array().cast("array<string>")
 
@@ -70,9 +65,9 @@ def with_hits(
     The text is normalised once for all rule sets; near-miss words are only
     looked for in records that no inclusion rule accepts.
     """
-    out = _computed_once(df, {"_text0": joined_record_text(title, code, kind), "_code": text_of(code)})
+    out = computed_once(df, {"_text0": joined_record_text(title, code, kind), "_code": text_of(code)})
     for i, step in enumerate(NORM_STEPS):
-        out = _computed_once(out, {f"_text{i + 1}": step(F.col(f"_text{i}"))}).drop(f"_text{i}")
+        out = computed_once(out, {f"_text{i + 1}": step(F.col(f"_text{i}"))}).drop(f"_text{i}")
     out = out.withColumnRenamed(f"_text{len(NORM_STEPS)}", "_text")
     text, raw = F.col("_text"), F.col("_code")
     first: dict[str, Column] = {}
@@ -89,7 +84,7 @@ def with_hits(
             ("near_cpv", _code_hits(raw, rules.near_miss_cpv_prefixes)),
         ):
             second[hits + name] = F.when(broad, _no_hits()).otherwise(found)
-    return _computed_once(_computed_once(out, first), second).drop("_text", "_code")
+    return computed_once(computed_once(out, first), second).drop("_text", "_code")
 
 
 def result_columns(rules: RuleSet, prefix: str) -> dict[str, Column]:

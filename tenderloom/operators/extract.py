@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tenderloom.functions.dates import LOCAL_DATE_PATTERN, iso_text, parse_local_date
 from tenderloom.functions.numbers import amount_text, parse_amount
 from tenderloom.functions.reasons import LIST_SEPARATOR
-from tenderloom.functions.text import squeeze
+from tenderloom.functions.text import FIELD_SEPARATOR, squeeze
+from tenderloom.operators.staging import computed_once
 from tenderloom.schema import TENDER_COLUMNS
 
 # Labels and markers of the page layout.
@@ -30,6 +31,8 @@ def _with_class(*names: str) -> str:
 
 CONTAINER = rf"(?i)<\w+\b(?=[^>]*\bid\s*=\s*[\"']{CONTAINER_ID}[\"']){_with_class(CONTAINER_CLASS)}[^>]*>"
 BLOCK = rf"(?i)<div\b{_with_class(*BLOCK_CLASSES)}[^>]*>"
+TAGS = r"(?s)<!--.*?-->|<[^>]*>"
+REFERENCE = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z0-9]+);"
 INLINE_LIST = rf"(?is)<ul\b{_with_class('list-inline')}[^>]*>(.*?)</ul>"
 HEADER = rf"(?is)<div\b{_with_class('list-group-item-header')}[^>]*>(.*)"
 SPAN = r"(?is)<span\b[^>]*>(.*?)</span>"
@@ -45,33 +48,48 @@ def _after(col: Column, opening: str) -> Column:
     return F.try_element_at(F.split(col, opening, 2), F.lit(2))
 
 
-def unescaped(col: Column) -> Column:
-    """Character references replaced; those that give an ampersand come last, so none is read twice."""
-    names = F.lit("\x02".join(f"{n}\x01{chr(c)}" for n, c in name2codepoint.items() if c > 2))
-    table = F.str_to_map(names, F.lit("\x02"), F.lit("\x01"))
-    references = F.array_distinct(F.regexp_extract_all(col, F.lit(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z0-9]+);"), F.lit(0)))
+def _decoded(ref: Column) -> Column:
+    """The character of a reference such as &euml; or &#235;, the reference itself when unknown."""
+    names = "\x02".join(f"{n}\x01{chr(c)}" for n, c in name2codepoint.items())
+    table = F.str_to_map(F.lit(names), F.lit("\x02"), F.lit("\x01"))
+    body = F.substring(ref, F.lit(2), F.length(ref) - 2)
+    digits = F.when(F.rlike(body, F.lit("^#[xX]")), F.conv(F.substr(body, F.lit(3)), 16, 10)).otherwise(
+        F.substr(body, F.lit(2))
+    )
+    code = digits.try_cast("int")
+    printable = code.between(0x20, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    by_number = F.when(printable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    named = F.try_element_at(table, body)
+    return F.coalesce(F.when(F.startswith(body, F.lit("#")), by_number).otherwise(named), ref)
+
+
+def _references(col: Column) -> Column:
+    """Distinct character references of a text with what they stand for."""
+    found = F.array_distinct(F.regexp_extract_all(col, F.lit(REFERENCE), F.lit(0)))
+    return F.transform(found, lambda ref: F.struct(ref.alias("ref"), _decoded(ref).alias("char")))
+
+
+def _replaced(col: Column, references: Column) -> Column:
+    """Replace references; those that give an ampersand come last, so none is read twice."""
+    ordered = F.concat(
+        F.filter(references, lambda r: r["char"] != "&"),
+        F.filter(references, lambda r: r["char"] == "&"),
+    )
+    return F.aggregate(ordered, col, lambda text, r: F.replace(text, r["ref"], r["char"]))
+
 
-    def decoded(ref: Column) -> Column:
-        body = F.substring(ref, F.lit(2), F.length(ref) - 2)
-        hexadecimal = F.rlike(body, F.lit("^#[xX]"))
-        digits = F.when(hexadecimal, F.conv(F.substr(body, F.lit(3)), 16, 10)).otherwise(F.substr(body, F.lit(2)))
-        code = digits.try_cast("int")
-        by_number = F.when(
-            code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        )
-        return F.coalesce(F.when(F.startswith(body, F.lit("#")), by_number).otherwise(F.try_element_at(table, body)), ref)
+def unescaped(col: Column) -> Column:
+    return F.when(F.contains(col, F.lit("&")), _replaced(col, _references(col))).otherwise(col)
 
-    def replace_all(text: Column, chosen: Column) -> Column:
-        return F.aggregate(chosen, text, lambda acc, ref: F.replace(acc, ref, decoded(ref)))
 
-    plain = F.filter(references, lambda ref: decoded(ref) != "&")
-    ampersands = F.filter(references, lambda ref: decoded(ref) == "&")
-    return F.when(F.contains(col, F.lit("&")), replace_all(replace_all(col, plain), ampersands)).otherwise(col)
+def _stripped(col: Column, gap: str = "") -> Column:
+    """Fragment without tags and comments, squeezed; references other than blanks stay."""
+    return squeeze(F.replace(F.regexp_replace(col, TAGS, gap), F.lit("&nbsp;"), F.lit(" ")))
 
 
 def html_text(col: Column, gap: str = "") -> Column:
     """Text of a fragment: tags and comments replaced by ``gap``, references decoded, squeezed."""
-    return squeeze(unescaped(F.regexp_replace(col, r"(?s)<!--.*?-->|<[^>]*>", gap)))
+    return squeeze(unescaped(F.regexp_replace(col, TAGS, gap)))
 
 
 def page_counter(html: Column) -> tuple[Column, Column]:
@@ -94,13 +112,26 @@ def blocks(pages: DataFrame, ordinal: str = "page_id") -> DataFrame:
     )
 
 
-def _title(block: Column) -> Column:
-    header = F.regexp_extract(block, HEADER, 1)
-    cells = {}
-    for css in ("col-lg-12", "col-md-12"):
-        cells[css] = _after(header, rf"(?i)<\w+\b{_with_class(css)}[^>]*>")
-    cell = F.coalesce(cells["col-lg-12"], cells["col-md-12"], F.lit(""))
-    whole = html_text(F.regexp_replace(cell, r"(?is)</div>.*", ""), " ")
+# Fields read from labelled list items, besides the date and the codes.
+PLAIN_FIELDS = (
+    "autoriteti_kontraktues",
+    "burimi_financimit",
+    "fondi_limit_raw",
+    "viti",
+    "koha_zhvillimit",
+    "tipi_procedures",
+    "anulluar",
+)
+TEXT_FIELDS = ("objekti_procedurave", *PLAIN_FIELDS, "data_publikimit", "ora_publikimit", "kodi_cpv_raw")
+
+
+def _header_cell(header: Column) -> Column:
+    wide, medium = (_after(header, rf"(?i)<\w+\b{_with_class(css)}[^>]*>") for css in ("col-lg-12", "col-md-12"))
+    return F.regexp_replace(F.coalesce(wide, medium, F.lit("")), r"(?is)</div>.*", "")
+
+
+def _title(whole: Column) -> Column:
+    """The text after the label, else all of it."""
     labelled = F.lit(None).cast("string")
     for label in reversed(TITLE_LABELS):
         at = F.locate(label, whole)
@@ -109,8 +140,7 @@ def _title(block: Column) -> Column:
 
 
 def _label(item: Column) -> Column:
-    text = F.lower(html_text(F.regexp_extract(item, _element("b"), 1)))
-    return F.regexp_replace(text, r"[ :]+$", "")
+    return F.regexp_replace(F.lower(_stripped(F.regexp_extract(item, _element("b"), 1))), r"[ :]+$", "")
 
 
 def _field_of(label: Column) -> Column:
@@ -141,69 +171,96 @@ def _first_text(items: Column) -> Column:
 
 def _highlighted_value(item: Column) -> Column:
     """First non-empty highlighted span, else the italic text."""
-    parts = F.split(item, HIGHLIGHTED)
-    opened = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    spans = F.transform(opened, lambda t: html_text(F.regexp_replace(t, r"(?is)</span>.*", "")))
-    italic = html_text(F.regexp_extract(item, _element("i"), 1))
+    opened = F.split(item, HIGHLIGHTED)
+    spans = F.transform(
+        F.slice(opened, 2, F.greatest(F.size(opened) - 1, F.lit(0))),
+        lambda t: _stripped(F.regexp_replace(t, r"(?is)</span>.*", "")),
+    )
+    italic = _stripped(F.regexp_extract(item, _element("i"), 1))
     return F.coalesce(F.nullif(_first_text(spans), F.lit("")), italic)
 
 
+def _span_texts(fragment: Column) -> Column:
+    return F.transform(F.regexp_extract_all(fragment, F.lit(SPAN), F.lit(1)), lambda t: _stripped(t))
+
+
 def _code_list(item: Column) -> Column:
     """Texts of the spans inside the highlighted one, else its own text."""
     inside = F.coalesce(_after(item, HIGHLIGHTED), F.lit(""))
-    inner = F.transform(F.regexp_extract_all(inside, F.lit(SPAN), F.lit(1)), lambda t: html_text(t))
-    own = html_text(F.regexp_replace(inside, r"(?is)</span>.*", ""))
-    listed = F.array_join(F.filter(inner, lambda t: t != ""), LIST_SEPARATOR)
+    listed = F.array_join(F.filter(_span_texts(inside), lambda t: t != ""), LIST_SEPARATOR)
+    own = _stripped(F.regexp_replace(inside, r"(?is)</span>.*", ""))
     return F.coalesce(F.nullif(listed, F.lit("")), own)
 
 
 def _date_span(item: Column) -> Column:
     """The first span holding a d-m-yyyy date."""
-    spans = F.transform(F.regexp_extract_all(item, F.lit(SPAN), F.lit(1)), lambda t: html_text(t))
-    dates = F.filter(spans, lambda t: F.rlike(t, F.lit(LOCAL_DATE_PATTERN)))
+    dates = F.filter(_span_texts(item), lambda t: F.rlike(t, F.lit(LOCAL_DATE_PATTERN)))
     return F.coalesce(F.try_element_at(dates, F.lit(1)), F.lit(""))
 
 
 def records(pages: DataFrame, ordinal: str = "page_id") -> DataFrame:
-    """Tender records of a page corpus. No shuffle: a page is parsed where it is read."""
-    found = blocks(pages, ordinal)
-    items = F.split(F.array_join(F.regexp_extract_all("block", F.lit(INLINE_LIST), F.lit(1)), " "), r"(?i)<li\b[^>]*>")
-    named = F.transform(
-        F.filter(items, lambda item: F.rlike(item, F.lit(r"(?i)<b\b"))),
-        lambda item: F.struct(_field_of(_label(item)).alias("field"), item.alias("item")),
+    """Tender records of a page corpus. No shuffle: a page is parsed where it is read.
+
+    Each step works on the finished columns of the one before; the references of
+    all fields of a record are decoded together.
+    """
+    place = ["page_number", "row_index"]
+    found = blocks(pages, ordinal).select(*place, "block")
+    lists = F.array_join(F.regexp_extract_all("block", F.lit(INLINE_LIST), F.lit(1)), " ")
+    parts = computed_once(
+        found,
+        {
+            "header": F.regexp_extract("block", HEADER, 1),
+            "items": F.filter(F.split(lists, r"(?i)<li\b[^>]*>"), lambda i: F.rlike(i, F.lit(r"(?i)<b\b"))),
+        },
+        keep=place,
+    )
+    labelled = computed_once(
+        parts,
+        {
+            "title": _stripped(_header_cell(F.col("header")), " "),
+            "labelled": F.transform("items", lambda i: F.struct(_label(i).alias("label"), i.alias("item"))),
+        },
+        keep=place,
     )
-    base = found.select(
-        F.col("page_number").cast("string").alias("page_fetched"),
-        F.col("row_index").cast("string").alias("row_index_on_page"),
-        _title(F.col("block")).alias("objekti_procedurave"),
-        named.alias("items"),
+    named = computed_once(
+        labelled,
+        {"named": F.transform("labelled", lambda i: F.struct(_field_of(i["label"]).alias("field"), i["item"].alias("item")))},
+        keep=[*place, "title"],
     )
 
     def item_of(field: str) -> Column:
-        last = F.try_element_at(F.filter("items", lambda i: i["field"] == field), F.lit(-1))
+        last = F.try_element_at(F.filter("named", lambda i: i["field"] == field), F.lit(-1))
         return F.coalesce(last["item"], F.lit(""))
 
-    date_item = item_of("data_publikimit")
-    plain = (
-        "autoriteti_kontraktues",
-        "burimi_financimit",
-        "fondi_limit_raw",
-        "viti",
-        "koha_zhvillimit",
-        "tipi_procedures",
-        "anulluar",
+    items = computed_once(
+        named,
+        {f: item_of(f) for f in (*PLAIN_FIELDS, "data_publikimit", "kodi_cpv_raw")},
+        keep=[*place, "title"],
+    )
+    values = {
+        **{f: _highlighted_value(F.col(f)) for f in PLAIN_FIELDS},
+        "objekti_procedurave": F.col("title"),
+        "data_publikimit": _date_span(F.col("data_publikimit")),
+        "ora_publikimit": _stripped(F.regexp_extract("data_publikimit", _element("small"), 1)),
+        "kodi_cpv_raw": _code_list(F.col("kodi_cpv_raw")),
+    }
+    joined = computed_once(
+        items, {"joined": F.concat_ws(FIELD_SEPARATOR, *[values[f] for f in TEXT_FIELDS])}, keep=place
+    )
+    decoded = computed_once(
+        computed_once(joined, {"references": _references(F.col("joined"))}),
+        {"fields": F.split(_replaced(F.col("joined"), F.col("references")), FIELD_SEPARATOR)},
+        keep=place,
     )
-    fields = base.select(
-        "page_fetched",
-        "row_index_on_page",
-        "objekti_procedurave",
-        *[_highlighted_value(item_of(f)).alias(f) for f in plain],
-        _date_span(date_item).alias("data_publikimit"),
-        html_text(F.regexp_extract(date_item, _element("small"), 1)).alias("ora_publikimit"),
-        _code_list(item_of("kodi_cpv_raw")).alias("kodi_cpv_raw"),
+    texts = computed_once(
+        decoded, {f: squeeze(F.get("fields", F.lit(i))) for i, f in enumerate(TEXT_FIELDS)}, keep=place
     )
-    return fields.withColumns(
+    return texts.withColumns(
         {
+            "page_fetched": F.col("page_number").cast("string"),
+            "row_index_on_page": F.col("row_index").cast("string"),
+            "objekti_procedurave": _title(F.col("objekti_procedurave")),
             "fondi_limit_lek": amount_text(parse_amount(F.col("fondi_limit_raw"))),
             "data_iso": iso_text(parse_local_date(F.col("data_publikimit"))),
             "cpv_spans": F.col("kodi_cpv_raw"),

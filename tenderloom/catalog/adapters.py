@@ -72,7 +72,7 @@ def tenders_of(documents: DataFrame) -> DataFrame:
     rows = documents.select(
         (doc + 1).alias("id"),
         F.col("text").alias("objekti_procedurave"),
-        F.col("source").alias("autoriteti_kontraktues"),
+        F.concat(F.lit("Autoriteti "), F.col("lang")).alias("autoriteti_kontraktues"),
         F.when(n % 2 == 0, "Buxheti").otherwise("Te ardhurat").alias("burimi_financimit"),
         amount.alias("fondi_limit_raw"),
         F.concat_ws("-", F.day(day), F.month(day), F.year(day)).alias("data_publikimit"),
@@ -82,7 +82,7 @@ def tenders_of(documents: DataFrame) -> DataFrame:
         F.concat(F.lit("Muaji "), n % 12 + 1).alias("koha_zhvillimit"),
         code.alias("kodi_cpv_raw"),
         code.alias("cpv_spans"),
-        F.col("lang").alias("tipi_procedures"),
+        F.col("source").alias("tipi_procedures"),
         F.lit("").alias("anulluar"),
         F.floor(doc / ROWS_PER_PAGE + 1).cast("string").alias("page_fetched"),
         (doc % ROWS_PER_PAGE).cast("string").alias("row_index_on_page"),

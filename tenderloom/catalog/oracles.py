@@ -23,7 +23,7 @@ def fingerprint(alias: str = "") -> str:
 
 TENDERS = """
 tenders AS (
-  SELECT doc_id + 1 AS id, text AS objekti_procedurave, source AS autoriteti_kontraktues,
+  SELECT doc_id + 1 AS id, text AS objekti_procedurave, 'Autoriteti ' || lang AS autoriteti_kontraktues,
     CASE WHEN n_chars % 2 = 0 THEN 'Buxheti' ELSE 'Te ardhurat' END AS burimi_financimit,
     CASE n_chars % 4 WHEN 0 THEN n_chars || ',50 Lekë' WHEN 1 THEN n_chars || '.00 Lek'
       WHEN 2 THEN n_chars || ' lek' ELSE 'pa fond' END AS fondi_limit_raw,
@@ -33,7 +33,7 @@ tenders AS (
       WHEN 1 THEN (n_chars % 24) || '.' || lpad(CAST(n_chars % 60 AS VARCHAR), 2, '0') ELSE '' END AS ora_publikimit,
     CAST(d AS VARCHAR) AS data_iso, CAST(2024 + doc_id % 3 AS VARCHAR) AS viti,
     'Muaji ' || (n_chars % 12 + 1) AS koha_zhvillimit, code AS kodi_cpv_raw, code AS cpv_spans,
-    lang AS tipi_procedures, '' AS anulluar,
+    source AS tipi_procedures, '' AS anulluar,
     CAST(doc_id // 20 + 1 AS VARCHAR) AS page_fetched, CAST(doc_id % 20 AS VARCHAR) AS row_index_on_page,
     CAST(d AS TIMESTAMP) + CASE WHEN n_chars % 3 = 2 THEN INTERVAL 0 MINUTE
       ELSE to_minutes(CAST((n_chars % 24) * 60 + n_chars % 60 AS BIGINT)) END AS published
@@ -434,7 +434,7 @@ FROM given l JOIN f ON f.id = l.tender_id""",
         + f"""SELECT t.id, {PAGE}, score, confidence FROM c JOIN tenders t ON t.id = c.id WHERE strict_ok AND confidence = 'low'
   ORDER BY {TIER} DESC, score DESC, data_iso DESC, t.id DESC LIMIT 10 OFFSET 10""",
         "search_fields_page": t
-        + f"""SELECT id, {PAGE}, koha_zhvillimit FROM tenders WHERE {_like('autoriteti_kontraktues', 'e')}
+        + f"""SELECT id, {PAGE}, koha_zhvillimit FROM tenders WHERE {_like('autoriteti_kontraktues', 'autoriteti e')}
   AND {_like('kodi_cpv_raw', '7')} AND {_like('koha_zhvillimit', 'muaji 1')} ORDER BY data_iso, id LIMIT 100""",
         "search_reviewer": with_(TENDERS, LABELS, LAST_ONE)
         + f"""SELECT id, autoriteti_kontraktues FROM tenders

@@ -381,7 +381,7 @@ def search_confidence_page(spark, sf):
 @query
 def search_fields_page(spark, sf):
     result = search.search_page(
-        a.tenders(spark, sf), authority="E", cpv="7", koha_zhvillimit="muaji 1", sort="publication_asc", page_size=5000
+        a.tenders(spark, sf), authority="AUTORITETI e", cpv="7", koha_zhvillimit="muaji 1", sort="publication_asc", page_size=5000
     )
     return _page_columns(result, "koha_zhvillimit")
 

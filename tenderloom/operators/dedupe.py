@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tenderloom.functions.text import source_hash, strip_space
 from tenderloom.operators.ordering import number_rows
 from tenderloom.schema import TENDER_COLUMNS, TITLE
+from tenderloom.shared import written
 
 HASH = "source_hash"
 STORED_COLUMNS = ("id", HASH, *TENDER_COLUMNS, "first_seen_at", "last_seen_at")
@@ -52,14 +53,23 @@ def duplicate_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def new_rows(batch: DataFrame, base: DataFrame) -> DataFrame:
-    """Batch rows whose fingerprint the base does not hold."""
-    return batch.join(base.select(HASH), HASH, "left_anti")
+def known_hashes(base: DataFrame, staged: DataFrame) -> DataFrame:
+    """Fingerprints of ``staged`` that the base already holds.
+
+    The base is cut down by a semi join first: only its fingerprint column is read,
+    and with a batch small enough for Spark to broadcast it is not shuffled.
+    """
+    return base.select(HASH).join(staged.select(HASH), HASH, "left_semi")
+
+
+def numbered(rows: DataFrame, start: Column | int = 0) -> DataFrame:
+    """Ids after ``start`` in arrival order."""
+    return number_rows(rows, [*arrival(), F.col(HASH)], "id", start)
 
 
 def first_load(batch: DataFrame, now: Column) -> DataFrame:
     """M5: a stored table from nothing."""
-    rows = number_rows(first_wins(batch), [*arrival(), F.col(HASH)], "id")
+    rows = numbered(first_wins(batch))
     return rows.withColumns({"first_seen_at": now, "last_seen_at": now}).select(*STORED_COLUMNS)
 
 
@@ -67,25 +77,18 @@ def merge(base: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
     """M1: the table after a batch. New fingerprints are inserted, known ones only
     move ``last_seen_at``, and nothing else changes, so replays are harmless.
 
-    Fingerprints are unique on both sides, so the one join has no hot key.
-    New rows are numbered after the largest id, in arrival order.
+    The batch is de-duplicated and written once; fingerprints are unique on both
+    sides, so the joins have no hot key. New rows are numbered after the largest
+    id, in arrival order.
     """
-    staged = first_wins(batch)
-    pairs = base.withColumn("_base", F.lit(True)).alias("b").join(
-        staged.withColumn("_batch", F.lit(True)).alias("s"), HASH, "full_outer"
-    )
-    known = F.col("_base").isNotNull()
-    merged = pairs.select(
-        F.col("id"),
-        HASH,
-        *[F.when(known, F.col("b." + c)).otherwise(F.col("s." + c)).alias(c) for c in TENDER_COLUMNS],
-        F.when(known, F.col("first_seen_at")).otherwise(now).alias("first_seen_at"),
-        F.when(F.col("_batch").isNotNull(), now).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
-    )
-    top = base.agg(F.coalesce(F.max("id"), F.lit(0)))
-    placed = merged.filter(F.col("id").isNull()).drop("id")
-    added = number_rows(placed, [*arrival(), F.col(HASH)], "id", start=top.scalar())
-    return merged.filter(F.col("id").isNotNull()).select(*STORED_COLUMNS).unionByName(added.select(*STORED_COLUMNS))
+    staged = written(first_wins(batch), "staged")
+    seen = staged.select(HASH, F.lit(True).alias("_seen"))
+    last = F.when(F.col("_seen"), now).otherwise(F.col("last_seen_at"))
+    kept = base.join(seen, HASH, "left").withColumn("last_seen_at", last).select(*STORED_COLUMNS)
+    top = base.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    fresh = staged.join(known_hashes(base, staged), HASH, "left_anti").select(HASH, *TENDER_COLUMNS)
+    added = numbered(fresh, top).withColumns({"first_seen_at": now, "last_seen_at": now})
+    return kept.unionByName(added.select(*STORED_COLUMNS))
 
 
 def merge_counts(base: DataFrame, batch: DataFrame) -> DataFrame:

@@ -45,10 +45,21 @@ def latest_label_counts(labels: DataFrame) -> DataFrame:
     return per_time.groupBy("tender_id").agg(last).select("tender_id", *[f"_last.{v}" for v in LABEL_VALUES])
 
 
+def labelled_results(labels: DataFrame, tenders: DataFrame, rule_sets: dict[str, RuleSet]) -> DataFrame:
+    """Classification of the labelled tenders, once each, without their texts.
+
+    Texts meet only the distinct label ids (a broadcast while those are few), and
+    what is joined to labels afterwards is narrow and already partitioned by id.
+    """
+    ids = labels.select(F.col("tender_id").alias("id")).distinct()
+    records = tenders.select("id", TITLE, CODE, KIND).join(ids, "id", "left_semi")
+    return classify_many(records, rule_sets).drop(TITLE, CODE, KIND)
+
+
 def judged(labels: DataFrame, tenders: DataFrame, rule_sets: dict[str, RuleSet]) -> DataFrame:
     """One row per labelled tender with its label counts and a classification per rule set."""
     counted = latest_label_counts(labels).withColumnRenamed("tender_id", "id")
-    return classify_many(tenders.select("id", TITLE, CODE, KIND).join(counted, "id"), rule_sets)
+    return labelled_results(labels, tenders, rule_sets).join(counted, "id")
 
 
 def confusion_cells(predicted: Column) -> dict[str, Column]:
@@ -169,16 +180,10 @@ def changed(left: str, right: str, names: tuple[str, ...]) -> Column:
 
 
 def latest_judgements(labels: DataFrame, tenders: DataFrame, rule_sets: dict[str, RuleSet]) -> DataFrame:
-    """Every latest label (ties kept) next to the tender's classification.
-
-    Tenders are cut to the labelled ones and classified once each before the
-    labels are joined, so repeated labels never repeat the regex work.
-    """
-    last = latest_labels(labels, ties="keep")
-    ids = labels.select(F.col("tender_id").alias("id")).distinct()
-    records = tenders.select("id", TITLE, CODE, KIND).join(ids, "id", "left_semi")
-    results = classify_many(records, rule_sets).drop(TITLE, CODE, KIND).withColumnRenamed("id", "tender_id")
-    return last.withColumnRenamed("id", "label_id").join(results, "tender_id")
+    """Every latest label (ties kept) next to the tender's classification."""
+    last = latest_labels(labels, ties="keep").withColumnRenamed("id", "label_id")
+    results = labelled_results(labels, tenders, rule_sets).withColumnRenamed("id", "tender_id")
+    return last.join(results, "tender_id")
 
 
 def result_diff(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

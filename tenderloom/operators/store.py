@@ -14,8 +14,7 @@ from datetime import datetime
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tenderloom.operators.dedupe import HASH, arrival, fingerprinted, first_wins
-from tenderloom.operators.ordering import number_rows
+from tenderloom.operators.dedupe import HASH, fingerprinted, first_wins, known_hashes, numbered
 from tenderloom.schema import RUN_SCHEMA, TENDER_COLUMNS, canonical
 from tenderloom.shared import written
 
@@ -101,14 +100,13 @@ class TenderStore:
         started = datetime.now()
 
         batch = written(fingerprinted(canonical(batch)), "batch")
-        staged_hashes = batch.select(HASH).distinct()
-        known = self.rows().select(HASH).join(staged_hashes, HASH, "left_semi").withColumn("_known", F.lit(True))
+        known = known_hashes(self.rows(), batch).withColumn("_known", F.lit(True))
         staged = written(first_wins(batch).join(known, HASH, "left"), "staged")
         fresh = staged.filter(F.col("_known").isNull())
-        stamp = F.lit(now.isoformat(" ")).cast("timestamp_ntz")
+        stamp = F.lit(now.isoformat(" ")).cast("timestamp_ntz").alias("first_seen_at")
 
-        numbered = number_rows(fresh.drop("_known"), [*arrival(), F.col(HASH)], "id", start=log["max_id"])
-        self._write(numbered.select("id", HASH, *TENDER_COLUMNS, stamp.alias("first_seen_at")), "rows", batch_id)
+        rows = numbered(fresh.drop("_known"), log["max_id"])
+        self._write(rows.select("id", HASH, *TENDER_COLUMNS, stamp), "rows", batch_id)
         self._write(staged.filter("_known").select(HASH, stamp.alias("seen_at")), "seen", batch_id)
 
         inserted = fresh.count()

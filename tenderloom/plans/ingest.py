@@ -50,7 +50,8 @@ def run_ingest(
         )
     else:
         raise ValueError(f"unknown mode: {mode}")
-    visited = written(visited_pages(page_flags(numbers, parsed, scope), patience, max_pages), "visited")
+    flags = written(page_flags(numbers, parsed, scope), "flags")
+    visited = written(visited_pages(flags, patience, max_pages), "visited")
     read = parsed.join(visited.select(F.col("page").cast("string").alias("page_fetched")), "page_fetched", "left_semi")
     return store.append(
         read.filter(scope),

@@ -15,7 +15,7 @@ from tenderloom.functions.numbers import amount_text, parse_amount
 from tenderloom.operators.classify import classify, snapshot
 from tenderloom.rules import DEFAULT_RULES, RuleSet
 from tenderloom.schema import TENDER_COLUMNS
-from tenderloom.shared import spread
+from tenderloom.shared import spread, written
 
 ROWS_PER_PAGE = 20
 
@@ -119,11 +119,12 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels with the classification under the former rules frozen in."""
+    """Labels with the classification under the former rules frozen in, as a stored table."""
     given = labels(spark, sf_dir)
     ids = given.select(F.col("tender_id").alias("id")).distinct()
     frozen = classify(tenders(spark, sf_dir).join(ids, "id", "left_semi"), FORMER_RULES)
-    return given.join(frozen.select(F.col("id").alias("tender_id"), snapshot().alias("snapshot")), "tender_id")
+    frozen = frozen.select(F.col("id").alias("tender_id"), snapshot().alias("snapshot"))
+    return written(given.join(frozen, "tender_id"), "labels")
 
 
 def _escaped(col: Column) -> Column:

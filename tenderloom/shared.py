@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,11 +16,15 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(SHARED_DIR_KEY, None)
     if named:
         return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError(f"set {SHARED_DIR_KEY} to a folder all executors share")
-    own = tempfile.mkdtemp(prefix="tenderloom-")
-    spark.conf.set(SHARED_DIR_KEY, own)
-    return own
+    return _local_dir(context.applicationId)
+
+
+@lru_cache(maxsize=None)
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"tenderloom-{application}-")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -31,6 +31,7 @@ def _with_class(*names: str) -> str:
 
 CONTAINER = rf"(?i)<\w+\b(?=[^>]*\bid\s*=\s*[\"']{CONTAINER_ID}[\"']){_with_class(CONTAINER_CLASS)}[^>]*>"
 BLOCK = rf"(?i)<div\b{_with_class(*BLOCK_CLASSES)}[^>]*>"
+UNSHOWN = r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->"
 TAGS = r"(?s)<!--.*?-->|<[^>]*>"
 REFERENCE = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z0-9]+);"
 INLINE_LIST = rf"(?is)<ul\b{_with_class('list-inline')}[^>]*>(.*?)</ul>"
@@ -94,7 +95,8 @@ def html_text(col: Column, gap: str = "") -> Column:
 
 def page_counter(html: Column) -> tuple[Column, Column]:
     """(page number, page total), nulls when the page shows no counter."""
-    return tuple(F.nullif(F.regexp_extract(html, PAGE_COUNTER, i), F.lit("")).try_cast("int") for i in (1, 2))
+    shown = F.regexp_replace(html, UNSHOWN, " ")
+    return tuple(F.nullif(F.regexp_extract(shown, PAGE_COUNTER, i), F.lit("")).try_cast("int") for i in (1, 2))
 
 
 def blocks(pages: DataFrame, ordinal: str = "page_id") -> DataFrame:

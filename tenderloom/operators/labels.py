@@ -29,11 +29,9 @@ def latest_labels(labels: DataFrame, ties: str = "one") -> DataFrame:
     """
     if ties == "one":
         fields = [c for c in labels.columns if c not in ("tender_id", "created_at", "id")]
-        newest = F.max(F.struct("created_at", "id", F.struct(*fields).alias("rest")))
+        newest = F.max_by(F.struct("created_at", "id", *fields), F.struct("created_at", "id"))
         best = labels.groupBy("tender_id").agg(newest.alias("_last"))
-        rest = {c: F.col("_last.rest." + c) for c in fields}
-        own = {"created_at": F.col("_last.created_at"), "id": F.col("_last.id"), "tender_id": F.col("tender_id")}
-        return best.select(*[{**rest, **own}[c].alias(c) for c in labels.columns])
+        return best.select(*[c if c == "tender_id" else F.col("_last." + c).alias(c) for c in labels.columns])
     if ties == "keep":
         last = labels.groupBy("tender_id").agg(F.max("created_at").alias("created_at"))
         return labels.join(last, ["tender_id", "created_at"]).select(*labels.columns)

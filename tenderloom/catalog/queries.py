@@ -583,7 +583,7 @@ def page_records(spark, sf):
 @query
 def bootstrap_ingest(spark, sf):
     store = TenderStore(spark, new_path(spark, "store"))
-    run_ingest(store, a.result_pages(spark, sf), "bootstrap", "2025", RUN_TIME)
+    run_ingest(store, a.result_pages(spark, sf), "bootstrap", "2025", RUN_TIME, seen_at=RUN_TIME)
     return _stored(store.tenders())
 
 
@@ -594,14 +594,14 @@ def daily_ingest(spark, sf):
     rows = a.tenders(spark, sf)
     upper = datetime(2024, 6, 30, 12, 0)
     store.append(rows.filter(F.col("data_iso") <= "2024-06-01").drop("id"), RUN_TIME)
-    run_ingest(store, a.result_pages(spark, sf), "daily", "2025", upper, stale_pages=10**6)
+    run_ingest(store, a.result_pages(spark, sf), "daily", "2025", upper, seen_at=upper, stale_pages=10**6)
     return _stored(store.tenders())
 
 
 @query
 def run_metrics(spark, sf):
     store = TenderStore(spark, new_path(spark, "store"))
-    run_ingest(store, a.result_pages(spark, sf), "bootstrap", "2025", RUN_TIME)
+    run_ingest(store, a.result_pages(spark, sf), "bootstrap", "2025", RUN_TIME, seen_at=RUN_TIME)
     classified = classify(store.tenders(), a.CURRENT_RULES)
     judged = quality.judged(a.labels(spark, sf), a.tenders(spark, sf), {"": a.CURRENT_RULES})
     return reports.run_metrics(store.runs(), classified, judged)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, functions as F
 
 from tenderloom.functions.text import squeeze, strip_space
@@ -64,3 +66,8 @@ def whole_second(ts: Column) -> Column:
 def utc_text(ts: Column) -> Column:
     """ISO text of a UTC instant."""
     return F.date_format(F.to_utc_timestamp(whole_second(ts), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def utc_now() -> datetime:
+    """naive UTC time of audit columns, to whole seconds."""
+    return datetime.now(timezone.utc).replace(tzinfo=None, microsecond=0)

@@ -83,9 +83,9 @@ def unescaped(col: Column) -> Column:
     return F.when(F.contains(col, F.lit("&")), _replaced(col, _references(col))).otherwise(col)
 
 
-def _stripped(col: Column, gap: str = "") -> Column:
+def _stripped(col: Column) -> Column:
     """Fragment without tags and comments, squeezed; references other than blanks stay."""
-    return squeeze(F.replace(F.regexp_replace(col, TAGS, gap), F.lit("&nbsp;"), F.lit(" ")))
+    return squeeze(F.replace(F.regexp_replace(col, TAGS, ""), F.lit("&nbsp;"), F.lit(" ")))
 
 
 def html_text(col: Column, gap: str = "") -> Column:
@@ -105,13 +105,18 @@ def blocks(pages: DataFrame, ordinal: str = "page_id") -> DataFrame:
     ``ordinal`` stands in for the page number where a page shows no counter.
     """
     number, total = page_counter(F.col("html"))
-    parts = F.split(_after(F.col("html"), CONTAINER), BLOCK)
-    found = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return pages.select(
-        F.coalesce(number, F.col(ordinal).cast("int")).alias("page_number"),
-        total.alias("page_total"),
-        F.posexplode(found).alias("row_index", "block"),
+    inside = computed_once(
+        pages,
+        {
+            "page_number": F.coalesce(number, F.col(ordinal).cast("int")),
+            "page_total": total,
+            "inside": _after(F.col("html"), CONTAINER),
+        },
+        keep=[],
     )
+    parts = computed_once(inside, {"parts": F.split("inside", BLOCK)}, keep=["page_number", "page_total"])
+    found = F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0)))
+    return parts.select("page_number", "page_total", F.posexplode(found).alias("row_index", "block"))
 
 
 # Fields read from labelled list items, besides the date and the codes.
@@ -137,7 +142,7 @@ def _title(whole: Column) -> Column:
     labelled = F.lit(None).cast("string")
     for label in reversed(TITLE_LABELS):
         at = F.locate(label, whole)
-        labelled = F.when(at > 0, squeeze(F.substr(whole, at + len(label)))).otherwise(labelled)
+        labelled = F.when(at > 0, F.trim(F.substr(whole, at + len(label)))).otherwise(labelled)
     return F.coalesce(F.nullif(labelled, F.lit("")), whole)
 
 
@@ -220,7 +225,9 @@ def records(pages: DataFrame, ordinal: str = "page_id") -> DataFrame:
     labelled = computed_once(
         parts,
         {
-            "title": _stripped(_header_cell(F.col("header")), " "),
+            "title": F.replace(
+                F.regexp_replace(_header_cell(F.col("header")), TAGS, " "), F.lit(FIELD_SEPARATOR), F.lit(" ")
+            ),
             "labelled": F.transform("items", lambda i: F.struct(_label(i).alias("label"), i.alias("item"))),
         },
         keep=place,

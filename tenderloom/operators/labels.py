@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tenderloom.functions.reasons import flag, from_flag, label_is_valid, list_from_json, reasons_from_json
-from tenderloom.functions.text import optional_text
+from tenderloom.functions.text import optional_text, strip_space
 from tenderloom.operators.classify import classify, snapshot
 from tenderloom.operators.ordering import number_rows
 from tenderloom.rules import DEFAULT_RULES, RuleSet
@@ -65,7 +65,7 @@ def new_labels(
     cleaned = requests.select(
         "request_id",
         "tender_id",
-        F.trim("label").alias("label"),
+        strip_space(F.col("label")).alias("label"),
         optional_text(F.col("reviewer"), REVIEWER_LIMIT).alias("reviewer"),
         optional_text(F.col("note"), NOTE_LIMIT).alias("note"),
     )

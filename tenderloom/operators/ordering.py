@@ -43,12 +43,14 @@ def running_totals(df: DataFrame, key: str, totals: dict[str, Column]) -> DataFr
     """Inclusive running sums in the order of ``key``, a unique non-negative 32-bit integer.
 
     Blocks of keys are summed in parallel, then blocks of blocks: every window is
-    partitioned and holds at most ``BLOCK`` rows, whatever the table's size.
+    partitioned and holds at most ``BLOCK`` rows, whatever the table's size. The
+    keys and values are written once, because all three levels read them.
     """
     names = list(totals)
-    rows = df.withColumns({f"_{n}": c.cast("long") for n, c in totals.items()}).withColumn(
+    blocked = df.withColumns({f"_{n}": c.cast("long") for n, c in totals.items()}).withColumn(
         "_block", F.floor(F.col(key) / BLOCK)
     )
+    rows = written(blocked, "totals")
     blocks = (
         rows.groupBy("_block")
         .agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in names])

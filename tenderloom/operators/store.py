@@ -14,6 +14,7 @@ from datetime import datetime
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tenderloom.functions.dates import utc_now
 from tenderloom.operators.dedupe import HASH, fingerprinted, first_wins, known_hashes, numbered
 from tenderloom.schema import RUN_SCHEMA, TENDER_COLUMNS, canonical
 from tenderloom.shared import written
@@ -97,7 +98,7 @@ class TenderStore:
             return self.runs().filter(F.col("batch_id") == batch_id).first().asDict()
         if batch_id is None:
             batch_id = log["last"] + 1
-        started = datetime.now()
+        started = utc_now()
 
         batch = written(fingerprinted(canonical(batch)), "batch")
         known = known_hashes(self.rows(), batch).withColumn("_known", F.lit(True))
@@ -114,7 +115,7 @@ class TenderStore:
         record = {
             "batch_id": batch_id,
             "started_at": started,
-            "finished_at": datetime.now(),
+            "finished_at": utc_now(),
             "mode": mode,
             "status": "ok",
             "target_year": target_year,

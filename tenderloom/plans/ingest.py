@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from datetime import datetime
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, functions as F
 
+from tenderloom.functions.dates import utc_now
 from tenderloom.operators.extract import page_counter, records
 from tenderloom.operators.store import TenderStore
 from tenderloom.operators.windows import daily_scope, high_water_mark, of_year, page_flags, visited_pages
@@ -13,9 +15,7 @@ from tenderloom.shared import written
 
 
 def local_now(instant: datetime, timezone: str) -> datetime:
-    """Naive wall-clock time of a zone, the unit of publication times."""
-    from zoneinfo import ZoneInfo
-
+    """Naive wall-clock time of a zone."""
     return instant.astimezone(ZoneInfo(timezone)).replace(tzinfo=None)
 
 
@@ -26,13 +26,15 @@ def run_ingest(
     target_year: str,
     now: datetime,
     *,
+    seen_at: datetime | None = None,
     stale_pages: int = 3,
     max_pages: int | None = None,
     ordinal: str = "page_id",
 ) -> dict:
     """Extract, filter and store one run; returns its run record.
 
-    ``now`` is local wall-clock time. Both modes may be run again at any time:
+    ``now`` is local wall-clock time, the unit of publication times; ``seen_at`` is the
+    UTC time stamped on rows, the current one by default. Both modes may be run again at any time:
     rows already stored only get a later ``last_seen_at``.
     """
     parsed = written(records(pages, ordinal), "records")
@@ -50,12 +52,11 @@ def run_ingest(
         )
     else:
         raise ValueError(f"unknown mode: {mode}")
-    flags = written(page_flags(numbers, parsed, scope), "flags")
-    visited = written(visited_pages(flags, patience, max_pages), "visited")
+    visited = written(visited_pages(page_flags(numbers, parsed, scope), patience, max_pages), "visited")
     read = parsed.join(visited.select(F.col("page").cast("string").alias("page_fetched")), "page_fetched", "left_semi")
     return store.append(
         read.filter(scope),
-        now,
+        seen_at or utc_now(),
         mode=mode,
         target_year=target_year,
         pages_visited=visited.count(),

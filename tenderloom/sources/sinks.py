@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 from tenderloom.schema import TENDER_COLUMNS
 from tenderloom.sources.tables import CSV_OPTIONS
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str], order: list[Column], bom: bool = True) -> int:

@@ -8,15 +8,16 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tenderloom.operators.store import TenderStore
+from tenderloom.functions.dates import utc_now
 from tenderloom.operators.dedupe import HASH, fingerprinted
+from tenderloom.operators.store import TenderStore
 
 
 def upsert_stream(
     records: DataFrame,
     store: TenderStore,
     checkpoint: str,
-    clock: Callable[[], datetime] = datetime.now,
+    clock: Callable[[], datetime] = utc_now,
     mode: str = "bootstrap",
     target_year: str = "",
 ) -> StreamingQuery:

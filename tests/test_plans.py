@@ -263,7 +263,7 @@ def test_csv_round_trip(spark, make_tenders, tmp_path):
 
 def test_csv_source_shape(spark, tmp_path):
     path = tmp_path / "in.csv"
-    path.write_text("﻿objekti_procedurave,extra,viti\nA,x,2031\nB,,\n", encoding="utf-8")
+    path.write_text("\ufeffobjekti_procedurave,extra,viti\nA,x,2031\nB,,\n", encoding="utf-8")
     rows = tables.read_tenders_csv(spark, str(path)).orderBy(TITLE).collect()
     assert [(r[TITLE], r["viti"], r["anulluar"]) for r in rows] == [("A", "2031", ""), ("B", "", "")]
 

@@ -177,7 +177,7 @@ def page(number, *rows):
 def test_bootstrap_then_daily(spark, tmp_path):
     store = TenderStore(spark, str(tmp_path / "store"))
     old = spark.createDataFrame([page(1, ("a", "2031-01-02", "09:00"), ("x", "2030-01-02", "09:00")), page(2, ("b", "2031-01-01", ""))], PAGE_SCHEMA)
-    run = run_ingest(store, old, "bootstrap", "2031", T2)
+    run = run_ingest(store, old, "bootstrap", "2031", T2, seen_at=T2)
     assert (run["pages_visited"], run["rows_parsed"], run["rows_inserted"]) == (2, 3, 2)
 
     new = spark.createDataFrame(
@@ -191,7 +191,7 @@ def test_bootstrap_then_daily(spark, tmp_path):
         PAGE_SCHEMA,
     )
     now = datetime(2031, 1, 3, 12, 0)
-    run = run_ingest(store, new, "daily", "2031", now, stale_pages=2)
+    run = run_ingest(store, new, "daily", "2031", now, seen_at=now, stale_pages=2)
     assert (run["pages_visited"], run["rows_parsed"], run["rows_inserted"], run["duplicates_skipped"]) == (4, 6, 2, 1)
     assert set(table_of(store.tenders())) == {"a", "b", "c", "d"}
     assert table_of(store.tenders())["a"][2] == now

@@ -177,3 +177,8 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</div></body></html>"),
     )
     return listed.select("page_id", F.lit("").alias("url"), html.alias("html"))
+
+
+def stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result pages as a page corpus on disk, the form ingest reads."""
+    return spread(written(result_pages(spark, sf_dir), "pages"))

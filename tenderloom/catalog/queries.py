@@ -267,16 +267,14 @@ def high_water_mark(spark, sf):
 def stale_page_cut(spark, sf):
     rows = a.tenders(spark, sf)
     scope = windows.of_window("2025", *(F.lit(t).cast("timestamp_ntz") for t in ("2024-02-01", "2024-03-15")))
-    pages = rows.select(F.col("page_fetched").cast("int").alias("page"))
-    flags = windows.page_flags(pages, rows, scope)
+    flags = windows.page_flags(rows, scope)
     return windows.visited_pages(flags, stale_pages=3).select("page", "matched", "visit")
 
 
 @query
 def page_cap(spark, sf):
     rows = a.tenders(spark, sf)
-    pages = rows.select(F.col("page_fetched").cast("int").alias("page"))
-    flags = windows.page_flags(pages, rows, windows.of_year("2025"))
+    flags = windows.page_flags(rows, windows.of_year("2025"))
     read = windows.visited_pages(flags, stale_pages=1000, max_pages=7)
     return read.agg(F.count("*").alias("pages_visited"), F.max("page").alias("last_page"))
 
@@ -574,7 +572,7 @@ def page_counters(spark, sf):
 
 @query
 def page_records(spark, sf):
-    return extract.records(a.result_pages(spark, sf))
+    return extract.records(a.stored_pages(spark, sf))
 
 
 # --- stored registry --------------------------------------------------------------
@@ -583,7 +581,7 @@ def page_records(spark, sf):
 @query
 def bootstrap_ingest(spark, sf):
     store = TenderStore(spark, new_path(spark, "store"))
-    run_ingest(store, a.result_pages(spark, sf), "bootstrap", "2025", RUN_TIME, seen_at=RUN_TIME)
+    run_ingest(store, a.stored_pages(spark, sf), "bootstrap", "2025", RUN_TIME, seen_at=RUN_TIME)
     return _stored(store.tenders())
 
 
@@ -594,14 +592,14 @@ def daily_ingest(spark, sf):
     rows = a.tenders(spark, sf)
     upper = datetime(2024, 6, 30, 12, 0)
     store.append(rows.filter(F.col("data_iso") <= "2024-06-01").drop("id"), RUN_TIME)
-    run_ingest(store, a.result_pages(spark, sf), "daily", "2025", upper, seen_at=upper, stale_pages=10**6)
+    run_ingest(store, a.stored_pages(spark, sf), "daily", "2025", upper, seen_at=upper, stale_pages=10**6)
     return _stored(store.tenders())
 
 
 @query
 def run_metrics(spark, sf):
     store = TenderStore(spark, new_path(spark, "store"))
-    run_ingest(store, a.result_pages(spark, sf), "bootstrap", "2025", RUN_TIME, seen_at=RUN_TIME)
+    run_ingest(store, a.stored_pages(spark, sf), "bootstrap", "2025", RUN_TIME, seen_at=RUN_TIME)
     classified = classify(store.tenders(), a.CURRENT_RULES)
     judged = quality.judged(a.labels(spark, sf), a.tenders(spark, sf), {"": a.CURRENT_RULES})
     return reports.run_metrics(store.runs(), classified, judged)

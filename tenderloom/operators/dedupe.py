@@ -22,8 +22,8 @@ def fingerprinted(df: DataFrame) -> DataFrame:
     return df if HASH in df.columns else df.withColumn(HASH, source_hash())
 
 
-def first_wins(df: DataFrame) -> DataFrame:
-    """The earliest row per fingerprint.
+def first_wins(df: DataFrame, copies: str | None = None) -> DataFrame:
+    """The earliest row per fingerprint, with the number of ``copies`` if asked for.
 
     A minimum over (arrival, row) merges inside each input task first, so a
     fingerprint shared by a third of all rows reaches the shuffle once per task.
@@ -31,9 +31,10 @@ def first_wins(df: DataFrame) -> DataFrame:
     df = fingerprinted(df)
     fields = [c for c in df.columns if c != HASH]
     earliest = F.min(F.struct(F.struct(*arrival()).alias("at"), F.struct(*fields).alias("row")))
-    return df.groupBy(HASH).agg(earliest.alias("_first")).select(
-        *[HASH if c == HASH else F.col("_first.row." + c).alias(c) for c in df.columns]
-    )
+    counted = [F.count(F.lit(1)).alias(copies)] if copies else []
+    kept = df.groupBy(HASH).agg(earliest.alias("_first"), *counted)
+    columns = [HASH if c == HASH else F.col("_first.row." + c).alias(c) for c in df.columns]
+    return kept.select(*columns, *([copies] if copies else []))
 
 
 def duplicate_counts(df: DataFrame) -> DataFrame:

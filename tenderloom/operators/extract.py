@@ -99,10 +99,11 @@ def page_counter(html: Column) -> tuple[Column, Column]:
     return tuple(F.nullif(F.regexp_extract(shown, PAGE_COUNTER, i), F.lit("")).try_cast("int") for i in (1, 2))
 
 
-def blocks(pages: DataFrame, ordinal: str = "page_id") -> DataFrame:
+def blocks(pages: DataFrame, ordinal: str = "page_id", empty_pages: bool = False) -> DataFrame:
     """One row per record block, with its page number and place on the page.
 
-    ``ordinal`` stands in for the page number where a page shows no counter.
+    ``ordinal`` stands in for the page number where a page shows no counter. With
+    ``empty_pages`` a page without blocks keeps one row, with neither place nor block.
     """
     number, total = page_counter(F.col("html"))
     inside = computed_once(
@@ -116,7 +117,8 @@ def blocks(pages: DataFrame, ordinal: str = "page_id") -> DataFrame:
     )
     parts = computed_once(inside, {"parts": F.split("inside", BLOCK)}, keep=["page_number", "page_total"])
     found = F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0)))
-    return parts.select("page_number", "page_total", F.posexplode(found).alias("row_index", "block"))
+    explode = F.posexplode_outer if empty_pages else F.posexplode
+    return parts.select("page_number", "page_total", explode(found).alias("row_index", "block"))
 
 
 # Fields read from labelled list items, besides the date and the codes.
@@ -205,14 +207,16 @@ def _date_span(item: Column) -> Column:
     return F.coalesce(F.try_element_at(dates, F.lit(1)), F.lit(""))
 
 
-def records(pages: DataFrame, ordinal: str = "page_id") -> DataFrame:
+def records(pages: DataFrame, ordinal: str = "page_id", empty_pages: bool = False) -> DataFrame:
     """Tender records of a page corpus. No shuffle: a page is parsed where it is read.
 
     Each step works on the finished columns of the one before; the references of
-    all fields of a record are decoded together.
+    all fields of a record are decoded together. With ``empty_pages`` a page without
+    records keeps one row without a row index, so that one pass also tells which
+    pages were read.
     """
     place = ["page_number", "row_index"]
-    found = blocks(pages, ordinal).select(*place, "block")
+    found = blocks(pages, ordinal, empty_pages).select(*place, "block")
     lists = F.array_join(F.regexp_extract_all("block", F.lit(INLINE_LIST), F.lit(1)), " ")
     parts = computed_once(
         found,

@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tenderloom.functions.dates import utc_now
-from tenderloom.operators.dedupe import HASH, fingerprinted, first_wins, known_hashes, numbered
+from tenderloom.operators.dedupe import HASH, first_wins, known_hashes, numbered
 from tenderloom.schema import RUN_SCHEMA, TENDER_COLUMNS, canonical
 from tenderloom.shared import written
 
@@ -77,7 +77,7 @@ class TenderStore:
         batch: DataFrame,
         now: datetime,
         *,
-        batch_id: int | None = None,
+        replay_key: str | None = None,
         mode: str = "bootstrap",
         target_year: str = "",
         pages_visited: int = 0,
@@ -86,32 +86,31 @@ class TenderStore:
     ) -> dict:
         """M1/M4: merge a batch and return its run record.
 
-        A batch id that is already published is skipped, which makes a replayed
-        stream batch harmless.
+        A batch whose ``replay_key`` is already in the log is skipped, which makes a
+        stream batch that is delivered again harmless.
         """
         log = self.runs().agg(
             F.coalesce(F.max("batch_id"), F.lit(-1)).alias("last"),
             F.coalesce(F.max("max_id"), F.lit(0)).alias("max_id"),
-            F.bool_or(F.col("batch_id") == F.lit(batch_id).cast("long")).alias("done"),
         ).first()
-        if log["done"]:
-            return self.runs().filter(F.col("batch_id") == batch_id).first().asDict()
-        if batch_id is None:
-            batch_id = log["last"] + 1
+        if replay_key is not None:
+            done = self.runs().filter(F.col("replay_key") == replay_key).first()
+            if done:
+                return done.asDict()
+        batch_id = log["last"] + 1
         started = utc_now()
 
-        batch = written(fingerprinted(canonical(batch)), "batch")
-        known = known_hashes(self.rows(), batch).withColumn("_known", F.lit(True))
-        staged = written(first_wins(batch).join(known, HASH, "left"), "staged")
-        fresh = staged.filter(F.col("_known").isNull())
-        stamp = F.lit(now.isoformat(" ")).cast("timestamp_ntz").alias("first_seen_at")
+        staged = written(first_wins(canonical(batch), copies="_copies"), "staged")
+        known = written(known_hashes(self.rows(), staged), "known")
+        stamp = F.lit(now.isoformat(" ")).cast("timestamp_ntz")
 
-        rows = numbered(fresh.drop("_known"), log["max_id"])
-        self._write(rows.select("id", HASH, *TENDER_COLUMNS, stamp), "rows", batch_id)
-        self._write(staged.filter("_known").select(HASH, stamp.alias("seen_at")), "seen", batch_id)
+        fresh = staged.join(known, HASH, "left_anti").drop("_copies")
+        rows = numbered(fresh, log["max_id"]).select("id", HASH, *TENDER_COLUMNS, stamp.alias("first_seen_at"))
+        self._write(rows, "rows", batch_id)
+        self._write(known.select(HASH, stamp.alias("seen_at")), "seen", batch_id)
 
-        inserted = fresh.count()
-        total = batch.count()
+        counts = staged.agg(F.count("*").alias("unique"), F.coalesce(F.sum("_copies"), F.lit(0)).alias("total")).first()
+        total, inserted = counts["total"], counts["unique"] - known.count()
         record = {
             "batch_id": batch_id,
             "started_at": started,
@@ -127,6 +126,7 @@ class TenderStore:
             "error_message": None,
             "summary_json": json.dumps(summary or {}, ensure_ascii=False),
             "max_id": log["max_id"] + inserted,
+            "replay_key": replay_key,
         }
         entry = self.spark.createDataFrame([tuple(record[f] for f in RUN_SCHEMA.names)], RUN_SCHEMA)
         self._write(entry.drop("batch_id").coalesce(1), "runs", batch_id)

@@ -42,15 +42,10 @@ def daily_scope(year: str, mark: datetime | None, now: datetime) -> Column:
     return of_window(year, *(F.lit(t.isoformat(" ")).cast("timestamp_ntz") for t in (mark, now)))
 
 
-def page_flags(pages: DataFrame, records: DataFrame, scope: Column) -> DataFrame:
+def page_flags(rows: DataFrame, scope: Column) -> DataFrame:
     """One row per page number with whether any of its records is in scope."""
-    hits = records.groupBy(F.col("page_fetched").cast("int").alias("page")).agg(F.bool_or(scope).alias("matched"))
-    return (
-        pages.select("page")
-        .distinct()
-        .join(hits, "page", "left")
-        .select("page", F.coalesce("matched", F.lit(False)).alias("matched"))
-    )
+    page = F.col("page_fetched").cast("int").alias("page")
+    return rows.groupBy(page).agg(F.coalesce(F.bool_or(scope), F.lit(False)).alias("matched"))
 
 
 def visited_pages(flags: DataFrame, stale_pages: int = 3, max_pages: int | None = None) -> DataFrame:

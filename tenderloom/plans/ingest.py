@@ -8,7 +8,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import DataFrame, functions as F
 
 from tenderloom.functions.dates import utc_now
-from tenderloom.operators.extract import page_counter, records
+from tenderloom.operators.extract import records
 from tenderloom.operators.store import TenderStore
 from tenderloom.operators.windows import daily_scope, high_water_mark, of_year, page_flags, visited_pages
 from tenderloom.shared import written
@@ -37,8 +37,7 @@ def run_ingest(
     UTC time stamped on rows, the current one by default. Both modes may be run again at any time:
     rows already stored only get a later ``last_seen_at``.
     """
-    parsed = written(records(pages, ordinal), "records")
-    numbers = pages.select(F.coalesce(page_counter(F.col("html"))[0], F.col(ordinal).cast("int")).alias("page"))
+    parsed = written(records(pages, ordinal, empty_pages=True), "records")
     summary: dict = {}
     if mode == "bootstrap":
         scope, patience = of_year(target_year), 2**31 - 1
@@ -52,8 +51,9 @@ def run_ingest(
         )
     else:
         raise ValueError(f"unknown mode: {mode}")
-    visited = written(visited_pages(page_flags(numbers, parsed, scope), patience, max_pages), "visited")
-    read = parsed.join(visited.select(F.col("page").cast("string").alias("page_fetched")), "page_fetched", "left_semi")
+    visited = written(visited_pages(page_flags(parsed, scope), patience, max_pages), "visited")
+    found = parsed.filter(F.col("row_index_on_page").isNotNull())
+    read = found.join(visited.select(F.col("page").cast("string").alias("page_fetched")), "page_fetched", "left_semi")
     return store.append(
         read.filter(scope),
         seen_at or utc_now(),

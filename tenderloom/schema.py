@@ -88,6 +88,7 @@ RUN_SCHEMA = T.StructType(
         T.StructField("error_message", T.StringType()),
         T.StructField("summary_json", T.StringType()),
         T.StructField("max_id", T.LongType()),
+        T.StructField("replay_key", T.StringType()),
     ]
 )
 

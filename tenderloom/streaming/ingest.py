@@ -24,11 +24,11 @@ def upsert_stream(
     """Merge everything the source holds now, micro-batch by micro-batch, then stop.
 
     The stream's own checkpoint resumes an interrupted run; the store skips a
-    batch number it has already published.
+    micro-batch it has already published.
     """
 
     def publish(batch: DataFrame, number: int) -> None:
-        store.append(batch, clock(), batch_id=number, mode=mode, target_year=target_year)
+        store.append(batch, clock(), replay_key=f"{checkpoint}#{number}", mode=mode, target_year=target_year)
 
     return (
         records.writeStream.foreachBatch(publish)

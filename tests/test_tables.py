@@ -107,9 +107,10 @@ def test_store_equals_merge_and_hides_unfinished_batches(spark, make_tenders, tm
     assert (run["batch_id"], run["rows_inserted"], run["duplicates_skipped"]) == (1, 1, 1)
     merged = dedupe.merge(dedupe.first_load(first, stamp(T1)), second, stamp(T2))
     assert table_of(store.tenders()) == table_of(merged)
-    assert store.append(second, T3, batch_id=1)["finished_at"] is not None
-    assert table_of(store.tenders()) == table_of(merged)
-    assert store.runs().count() == 2
+    keyed = store.append(make_tenders(sample("d"), ids=False), T2, replay_key="stream#0")
+    assert store.append(make_tenders(sample("d"), ids=False), T3, replay_key="stream#0") == keyed
+    assert table_of(store.tenders())["d"] == (4, T2, T2, "")
+    assert store.runs().count() == 3
 
 
 def test_store_reads_without_the_seen_table_when_it_can(spark, make_tenders, tmp_path):
@@ -214,14 +215,18 @@ def test_stream_equals_batch_and_resumes(spark, make_tenders, tmp_path):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
         upsert_stream(stream, store, checkpoint, clock=lambda: T1).awaitTermination()
 
+    loaded = make_tenders(sample("z"), ids=False)
+    store.append(loaded, T1)
     parts = [make_tenders(sample("a"), sample("b", 2), ids=False), make_tenders(sample("b"), sample("c", 3), ids=False)]
     for part in parts:
         part.coalesce(1).write.mode("append").parquet(source)
         drain()
     drain()
-    batch = dedupe.merge(dedupe.first_load(parts[0], stamp(T1)), parts[1], stamp(T1))
+    batch = dedupe.first_load(loaded, stamp(T1))
+    for part in parts:
+        batch = dedupe.merge(batch, part, stamp(T1))
     assert table_of(store.tenders()) == table_of(batch)
-    assert store.runs().count() == 2
+    assert store.runs().count() == 3
 
 
 def test_stream_prefilter_drops_repeats(spark, make_tenders, tmp_path):

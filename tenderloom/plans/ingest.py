@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from tenderloom.functions.dates import utc_now
 from tenderloom.operators.extract import records
 from tenderloom.operators.store import TenderStore
-from tenderloom.operators.windows import daily_scope, high_water_mark, of_year, page_flags, visited_pages
+from tenderloom.operators.windows import EVERY_PAGE, daily_scope, high_water_mark, of_year, page_flags, visited_pages
 from tenderloom.shared import written
 
 
@@ -37,11 +37,13 @@ def run_ingest(
     UTC time stamped on rows, the current one by default. Both modes may be run again at any time:
     rows already stored only get a later ``last_seen_at``.
     """
+    if mode not in ("bootstrap", "daily"):
+        raise ValueError(f"unknown mode: {mode}")
     parsed = written(records(pages, ordinal, empty_pages=True), "records")
     summary: dict = {}
     if mode == "bootstrap":
-        scope, patience = of_year(target_year), 2**31 - 1
-    elif mode == "daily":
+        scope, patience = of_year(target_year), EVERY_PAGE
+    else:
         mark = high_water_mark(store.rows(), target_year).first()["latest"]
         scope, patience = daily_scope(target_year, mark, now), stale_pages
         summary["publication_window"] = (
@@ -49,17 +51,19 @@ def run_ingest(
             if mark is None
             else {"mode": "dynamic_last_record_to_now", "lower_bound": mark.isoformat(), "upper_bound": now.isoformat()}
         )
-    else:
-        raise ValueError(f"unknown mode: {mode}")
-    visited = written(visited_pages(page_flags(parsed, scope), patience, max_pages), "visited")
     found = parsed.filter(F.col("row_index_on_page").isNotNull())
-    read = found.join(visited.select(F.col("page").cast("string").alias("page_fetched")), "page_fetched", "left_semi")
+    if mode == "daily" or max_pages:
+        visited = written(visited_pages(page_flags(parsed, scope), patience, max_pages), "visited")
+        page = F.col("page").cast("string").alias("page_fetched")
+        found = found.join(visited.select(page), "page_fetched", "left_semi")
+    else:  # a whole year reads every page
+        visited = parsed.select("page_fetched").distinct()
     return store.append(
-        read.filter(scope),
+        found.filter(scope),
         seen_at or utc_now(),
         mode=mode,
         target_year=target_year,
         pages_visited=visited.count(),
-        rows_parsed=read.count(),
+        rows_parsed=found.count(),
         summary=summary,
     )

@@ -40,7 +40,7 @@ CLASSES = (
     "àáâäèéêëìíîïòóôöùúûü", "çñß", "ÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ", "ÇÑ",
     "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ",
 )
-HEX = ("0123456789", "abcdef", "ABCDEF")
+HEX = ("0123456789", "abcdef")
 
 
 def kind_of(entity: Column) -> Column:
@@ -57,14 +57,20 @@ def gender_of(entity: Column) -> Column:
     return F.when(title.isin(*FEMALE), "f").when(title.isin(*MALE), "m")
 
 
-def _shifted(char: Column, by: Column, classes: tuple[str, ...]) -> Column:
-    """``char`` moved ``by`` places around its class; characters of no class stay."""
+def _tables(classes: tuple[str, ...]) -> tuple[str, str, str]:
+    """The classes end to end, and per character where its class starts and how long it is (three digits each)."""
     alphabet = "".join(classes)
-    sizes = ",".join(str(len(c)) for c in classes for _ in c)
-    firsts = ",".join(str(alphabet.index(c) + 1) for c in classes for _ in c)
-    place = F.instr(F.lit(alphabet), char)
-    first, size = F.expr(f"array({firsts})")[place - 1], F.expr(f"array({sizes})")[place - 1]
-    moved = F.substring(F.lit(alphabet), (first + F.pmod(place - first + by, size)).cast("int"), F.lit(1))
+    firsts = "".join(f"{alphabet.index(c) + 1:03d}" for c in classes for _ in c)
+    sizes = "".join(f"{len(c):03d}" for c in classes for _ in c)
+    return alphabet, firsts, sizes
+
+
+def _shifted(char: Column, by: Column, tables: Column) -> Column:
+    """``char`` moved ``by`` places around its class; characters of no class stay."""
+    place = F.instr(tables["alphabet"], char)
+    first = F.substring(tables["firsts"], place * 3 - 2, F.lit(3)).cast("int")
+    size = F.substring(tables["sizes"], place * 3 - 2, F.lit(3)).cast("int")
+    moved = F.substring(tables["alphabet"], (first + F.pmod(place - first + by, size)).cast("int"), F.lit(1))
     return F.when((char != "") & (place > 0), moved).otherwise(char)
 
 
@@ -79,32 +85,32 @@ def _bound(value: Column, use) -> Column:
     return F.transform(F.array(value), lambda x: use(x))[0]
 
 
-def permuted(text: Column, key: str, kind: str, classes: tuple[str, ...] = CLASSES) -> Column:
+def permuted(text: Column, key: str, kind: Column, tables: Column) -> Column:
     """A keyed permutation of all strings of one format.
 
     Odd and even places take turns: each half is shifted by amounts that depend on the other, which
     can be undone knowing the other half, so no two inputs meet.
     """
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    for turn in range(ROUNDS):
-        chars = _turn(chars, key, kind, turn, classes)
-    return F.array_join(chars, "")
 
+    def turned(turn: int, chars: Column) -> Column:
+        def seeded(cs: Column) -> Column:
+            other = F.array_join(F.filter(cs, lambda c, i: i % 2 == 1 - turn % 2), "")
+            return F.struct(cs.alias("chars"), _number(key, kind, F.lit(str(turn)), other).alias("seed"))
 
-def _turn(chars: Column, key: str, kind: str, turn: int, classes: tuple[str, ...]) -> Column:
-    def seeded(cs: Column) -> Column:
-        other = F.array_join(F.filter(cs, lambda c, i: i % 2 == 1 - turn % 2), "")
-        return F.struct(cs.alias("chars"), _number(key, F.lit(kind), F.lit(str(turn)), other).alias("seed"))
+        def moved(s: Column) -> Column:
+            return F.transform(
+                s["chars"],
+                lambda c, i: F.when(
+                    i % 2 == turn % 2, _shifted(c, F.pmod(F.xxhash64(s["seed"], i), F.lit(1 << 30)), tables)
+                ).otherwise(c),
+            )
 
-    def moved(s: Column) -> Column:
-        return F.transform(
-            s["chars"],
-            lambda c, i: F.when(
-                i % 2 == turn % 2, _shifted(c, F.pmod(F.xxhash64(s["seed"], i), F.lit(1 << 30)), classes)
-            ).otherwise(c),
-        )
+        return _bound(_bound(chars, seeded), moved)
 
-    return _bound(_bound(chars, seeded), moved)
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    for turn in range(ROUNDS):
+        chars = turned(turn, chars)
+    return F.array_join(chars, "")
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -116,16 +122,10 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(places, F.lit(0), lambda total, d: total + F.when(d > 9, d - 9).otherwise(d))
 
 
-def _card(entity: Column, key: str) -> Column:
-    """All digits but the last permuted; the last keeps its distance from the valid check digit."""
-    body = F.substring(entity, F.lit(1), F.length(entity) - 1)
-    last = F.substring(entity, F.length(entity), F.lit(1)).cast("int")
-
-    def finished(new: Column) -> Column:
-        old_sum, new_sum = (_luhn_sum(F.regexp_replace(x, "[^0-9]", "")) for x in (body, new))
-        return F.concat(new, F.pmod(last + old_sum - new_sum, F.lit(10)).cast("string"))
-
-    return _bound(permuted(body, key, "card"), finished)
+def _check_digit(old: Column, new: Column, digit: Column) -> Column:
+    """The digit at the same distance from the valid one after ``new`` as ``digit`` is after ``old``."""
+    old_sum, new_sum = (_luhn_sum(F.regexp_replace(x, "[^0-9]", "")) for x in (old, new))
+    return F.pmod(digit.cast("int") + old_sum - new_sum, F.lit(10)).cast("string")
 
 
 def _ip(entity: Column, key: str) -> Column:
@@ -150,32 +150,40 @@ def _ip(entity: Column, key: str) -> Column:
     return F.array_join(parts.cast("array<string>"), ".")
 
 
-def _split_at(entity: Column, head: str, tail: str = "") -> tuple[Column, Column, Column]:
-    """Head and tail that a pattern names stay; what lies between is permuted."""
-    first = F.regexp_extract(entity, rf"\A({head})", 1)
-    last = F.regexp_extract(entity, rf"({tail})\z", 1) if tail else F.lit("")
-    return first, F.substring(entity, F.length(first) + 1, F.length(entity) - F.length(first) - F.length(last)), last
+# What stays in front of and behind the permuted part, by kind.
+HEADS = {"secret": r"AKIA|(?:token|secret|password|api[_-]?key)\s*[=:]\s*[\"']?", "phone": r"\+[0-9]{1,3}", "name": r"[\p{L}-]+\.? "}
+TAILS = {"email": r"\.[A-Za-z]{2,}", "card": r"[0-9]", "name": r"\p{Ll}"}
+
+
+def _end(entity: Column, kind: Column, patterns: dict[str, str], form: str) -> Column:
+    end = F.lit("")
+    for name, pattern in patterns.items():
+        end = F.when(kind == name, F.regexp_extract(entity, form.format(pattern), 1)).otherwise(end)
+    return end
 
 
 def surrogate(entity: Column, kind: Column, key: str) -> Column:
     """The keyed replacement of an entity of the given kind."""
 
-    def framed(name: str, head: str, tail: str = "", classes: tuple[str, ...] = CLASSES) -> Column:
-        first, middle, last = _split_at(entity, head, tail)
-        return F.concat(first, permuted(middle, key, name, classes), last)
-
-    secret_head = r"AKIA|(?:token|secret|password|api[_-]?key)\s*[=:]\s*[\"']?"
-    _, secret, _ = _split_at(entity, secret_head)
-    return (
-        F.when(kind == "email", framed("email", "", r"\.[A-Za-z]{2,}"))
-        .when((kind == "secret") & secret.rlike(r"\A[0-9a-fA-F]+\z"), framed("hex", secret_head, "", HEX))
-        .when(kind == "secret", framed("secret", secret_head))
-        .when(kind == "phone", framed("phone", r"\+[0-9]{1,3}"))
-        .when(kind == "ssn", permuted(entity, key, "ssn"))
-        .when(kind == "card", _card(entity, key))
-        .when(kind == "ip", _ip(entity, key))
-        .when(kind == "name", framed("name", r"[\p{L}-]+\.? ", r"\p{Ll}"))
+    def cut(e: Column) -> Column:
+        length = F.length(e["entity"]) - F.length(e["head"]) - F.length(e["tail"])
+        middle = F.substring(e["entity"], F.length(e["head"]) + 1, length)
+        hexadecimal = (e["kind"] == "secret") & middle.rlike(r"\A[0-9a-f]+\z")
+        tables = [F.when(hexadecimal, h).otherwise(w) for h, w in zip(_tables(HEX), _tables(CLASSES))]
+        named = F.struct(*[t.alias(n) for t, n in zip(tables, ("alphabet", "firsts", "sizes"))])
+        return F.struct(e["kind"].alias("kind"), e["head"].alias("head"), e["tail"].alias("tail"), middle.alias("middle"), named.alias("tables"))
+
+    def joined(e: Column) -> Column:
+        new = permuted(e["middle"], key, e["kind"], e["tables"])
+        return _bound(new, lambda n: F.concat(e["head"], n, F.when(e["kind"] == "card", _check_digit(e["middle"], n, e["tail"])).otherwise(e["tail"])))
+
+    ends = F.struct(
+        entity.alias("entity"),
+        kind.alias("kind"),
+        _end(entity, kind, HEADS, r"\A({})").alias("head"),
+        _end(entity, kind, TAILS, r"({})\z").alias("tail"),
     )
+    return F.when(kind == "ip", _ip(entity, key)).otherwise(_bound(_bound(ends, cut), joined))
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -222,7 +222,8 @@ def minimisers(values: np.ndarray, window: int) -> np.ndarray:
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     smallest = np.minimum(behind[: n - window + 1], ahead[window - 1 : n])
     # the first position at or after each window's start that holds its minimum
-    order = np.flatnonzero(np.concatenate(([True], smallest[1:] != smallest[:-1])))
+    moved = (smallest[1:] != smallest[:-1]) | (values[: len(smallest) - 1] == smallest[1:])
+    order = np.flatnonzero(np.concatenate(([True], moved)))
     picked = set()
     found = []
     for start in order:

@@ -5,7 +5,9 @@ the hashes of 25-word runs. A passage of 50 words or more that two documents sha
 least one such position in common. Positions whose run occurs in one document only are
 dropped; the others are sorted by what follows, neighbours in that order are compared, and
 matches are extended word by word to the right and to the left. A match of ``min_words`` or
-more marks its span in both documents.
+more marks its span in both documents. The neighbour is the best partner to the right; where
+more than two suffixes share a run, another partner may reach further to the left, so all
+windows of ``min_words`` around such a position are compared by hash as well.
 
 Documents whose words are all the same are one document for the search; each such copy is
 repeated as a whole. Rows with a null id or text, and texts shorter than ``min_words``,
@@ -21,53 +23,72 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tenderloom.llm.common import gram_hashes, map_batches, map_groups, minimisers, ship, stored, texts_as_bytes, word_hashes
+from tenderloom.llm.common import gram_hashes, map_batches, map_groups, minimisers, mixed, ship, stored, texts_as_bytes, word_hashes
 
 MIN_WORDS = 50
 
 
-def text_classes(docs: DataFrame, seed: int, window: int, least: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Per document its words' digest, its selected positions and their hashes; and the classes of equal words.
+def text_classes(
+    docs: DataFrame, shapes: list[tuple[int, int]], least: int, id_col: str, text_col: str
+) -> tuple[DataFrame, DataFrame]:
+    """Per document its words' digest and its selected positions; and the classes of equal words.
 
-    Returns (profiles: doc_id, n_words, digest, anchors, places) and (classes: digest, head, copies).
+    ``shapes`` are (words in a run, window of runs). Returns (profiles: doc_id, n_words, digest,
+    anchors: hashes of the runs, places, sizes, turns: how often the hash came before) and (classes: digest, head, copies).
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, digests, anchors, places = [], [], [], []
+        lengths, digests, anchors, places, sizes, turns = [], [], [], [], [], []
         for data in texts_as_bytes(batch.column(1)):
             words = word_hashes(data or b"")
-            sizes.append(len(words))
+            lengths.append(len(words))
             if len(words) < least:
-                digests.append(None)
-                anchors.append(None)
-                places.append(None)
+                for column in (digests, anchors, places, sizes, turns):
+                    column.append(None)
                 continue
-            grams = gram_hashes(words, seed)
             digests.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
-            places.append(minimisers(grams, window).astype(np.int32))
-            anchors.append(grams[places[-1]].view(np.int64))
+            found = []
+            for seed, window in shapes:
+                grams = gram_hashes(words, seed)
+                at = minimisers(grams, window)
+                found.append((grams[at].view(np.int64), at.astype(np.int32), np.full(len(at), seed, np.int32)))
+            for column, parts in zip((anchors, places, sizes), zip(*found)):
+                column.append(np.concatenate(parts))
+            turns.append(_turns(anchors[-1]))
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
-                pa.array(sizes, pa.int64()),
+                pa.array(lengths, pa.int64()),
                 pa.array(digests, pa.binary()),
                 pa.array(anchors, pa.list_(pa.int64())),
                 pa.array(places, pa.list_(pa.int32())),
+                pa.array(sizes, pa.list_(pa.int32())),
+                pa.array(turns, pa.list_(pa.int32())),
             ],
-            ["doc_id", "n_words", "digest", "anchors", "places"],
+            ["doc_id", "n_words", "digest", "anchors", "places", "sizes", "turns"],
         )
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(
         "doc_id is not null and text is not null"
     )
     profiles = stored(
-        map_batches(narrow, work, "doc_id long, n_words long, digest binary, anchors array<long>, places array<int>").filter("digest is not null"),
+        map_batches(narrow, work, "doc_id long, n_words long, digest binary, anchors array<long>, places array<int>, sizes array<int>, turns array<int>").filter("digest is not null"),
         "anchors",
     )
     classes = profiles.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
     return profiles, stored(classes, "classes")
 
 
+def _turns(values: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each value."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(values) else np.zeros(0, np.int64)
+    turns = np.empty(len(values), np.int32)
+    turns[order] = np.arange(len(values)) - np.repeat(first, np.diff(np.concatenate((first, [len(values)]))))
+    return turns
+
+
 def heads(profiles: DataFrame, classes: DataFrame) -> DataFrame:
     """One document of each class."""
     firsts = classes.select(F.col("head").alias("doc_id"), "digest")
@@ -157,6 +178,43 @@ def _compared(ordered: DataFrame, seed: int, least: int, side: int) -> DataFrame
     return ordered.mapInPandas(run, schema)
 
 
+def _windows(kept: DataFrame, seed: int, least: int, side: int) -> DataFrame:
+    """Spans of ``least`` words that hold a shared run and occur in two documents, for runs that more than two suffixes share.
+
+    The run itself is equal by its hash, so a window is known by the run, its offset, and the words around.
+    """
+    many = kept.groupBy("gram").agg(F.count("*").alias("_n")).filter("_n > 2").select("gram")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        gram, doc, at = (batch.column(i).to_numpy() for i in range(3))
+        left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(len(gram), side) for i in (3, 4))
+
+        def prefixes(context: np.ndarray) -> list[np.ndarray | None]:
+            known = [np.full(len(gram), 1, np.uint64)]
+            for word in context.T:
+                known.append(mixed(known[-1] ^ mixed(word.astype(np.uint64))) + np.uint64(1))
+            return known
+
+        before, after = prefixes(left), prefixes(right)
+        keys, docs, starts = [], [], []
+        for back in range(side + 1):
+            inside = np.ones(len(gram), bool)
+            if back:
+                inside &= left[:, back - 1] != 0
+            if back < side:
+                inside &= right[:, side - back - 1] != 0
+            key = mixed(mixed(gram.view(np.uint64) + np.uint64(back)) ^ mixed(before[back]) ^ (mixed(after[side - back]) << np.uint64(1)))
+            keys.append(key[inside].view(np.int64))
+            docs.append(doc[inside])
+            starts.append(at[inside].astype(np.int64) - back)
+        columns = [pa.array(np.concatenate(x)) for x in (keys, docs, starts)]
+        return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "start"])
+
+    windows = stored(map_batches(kept.join(stored(many, "many"), "gram", "left_semi"), work, "key long, doc_id long, start long"), "windows")
+    shared = windows.groupBy("key").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).filter("_a < _b").select("key")
+    return windows.join(shared, "key", "left_semi").select("doc_id", "start", (F.col("start") + least).alias("end"))
+
+
 def _merged(frame: pd.DataFrame) -> pd.DataFrame:
     """Overlapping or touching spans of one document as one."""
     start, end = frame["start"].to_numpy(), np.maximum.accumulate(frame["end"].to_numpy())
@@ -176,7 +234,7 @@ def repeated_passages(
     seed = max(1, min_words // 2)
     window = min_words - seed + 1
     side = min_words - seed
-    profiles, classes = text_classes(docs, seed, window, min_words, id_col, text_col)
+    profiles, classes = text_classes(docs, [(seed, window)], min_words, id_col, text_col)
     anchors = heads(profiles, classes).select("doc_id", F.explode("anchors").alias("gram"))
     shared = anchors.groupBy("gram").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).filter("_a < _b").select("gram")
     # a document's own grams: bounded by its length
@@ -210,7 +268,8 @@ def repeated_passages(
     # the ends of partitions: two runs of each, compared once more in the same order
     edges = compared.filter("kind = 1").select("gram", "doc_id", "at", "left", "right")
     crossing = map_groups(edges, ["gram"], lambda f: _neighbours(f, seed, min_words, side), "doc_id long, start long, end long", order=order[1:])
-    spans = compared.filter("kind = 0").select("doc_id", "start", "end").unionByName(crossing).distinct()
+    direct = compared.filter("kind = 0").select("doc_id", "start", "end")
+    spans = direct.unionByName(crossing).unionByName(_windows(kept, seed, min_words, side)).distinct()
     merged = map_groups(spans, ["doc_id"], _merged, "doc_id long, start long, end long", order=["start", "end"])
     copies = profiles.join(classes.filter("copies > 1").select("digest"), "digest", "left_semi")
     whole = copies.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.lit(True).alias("whole")).distinct()

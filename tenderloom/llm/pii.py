@@ -7,8 +7,8 @@ carries its gender) stay. Card numbers keep a valid check digit and addresses st
 
 A permutation never maps two entities of a format to one surrogate, and the same entity has
 the same surrogate in all documents. What it can do is hit another entity of the corpus.
-That is the collision check: surrogates are looked up among all entities found, and one that
-is an entity is permuted again until it is none (cycle walking, which keeps them distinct).
+That is the collision check: surrogates are looked up among all entities found, and an entity
+whose surrogate is one gets a surrogate under another key that is nobody else's either.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tenderloom.llm.common import stored
 
 ROUNDS = 4
-HOPS = 16
+ATTEMPTS = 32
 
 # The formats that are detected, in order of precedence, and titles with their gender.
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "г-жа")
@@ -98,10 +98,12 @@ def permuted(text: Column, key: str, kind: Column, tables: Column) -> Column:
             return F.struct(cs.alias("chars"), _number(key, kind, F.lit(str(turn)), other).alias("seed"))
 
         def moved(s: Column) -> Column:
+            # the last letter of each part of a name carries its gender
+            ending = lambda i: (kind == "name") & F.coalesce(F.try_element_at(s["chars"], i + 2), F.lit(" ")).isin(" ", "-")
             return F.transform(
                 s["chars"],
                 lambda c, i: F.when(
-                    i % 2 == turn % 2, _shifted(c, F.pmod(F.xxhash64(s["seed"], i), F.lit(1 << 30)), tables)
+                    (i % 2 == turn % 2) & ~ending(i), _shifted(c, F.pmod(F.xxhash64(s["seed"], i), F.lit(1 << 30)), tables)
                 ).otherwise(c),
             )
 
@@ -152,7 +154,7 @@ def _ip(entity: Column, key: str) -> Column:
 
 # What stays in front of and behind the permuted part, by kind.
 HEADS = {"secret": r"AKIA|(?:token|secret|password|api[_-]?key)\s*[=:]\s*[\"']?", "phone": r"\+[0-9]{1,3}", "name": r"[\p{L}-]+\.? "}
-TAILS = {"email": r"\.[A-Za-z]{2,}", "card": r"[0-9]", "name": r"\p{Ll}"}
+TAILS = {"email": r"\.[A-Za-z]{2,}", "card": r"[0-9]"}
 
 
 def _end(entity: Column, kind: Column, patterns: dict[str, str], form: str) -> Column:
@@ -193,23 +195,25 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def collisions(found: DataFrame, key: str) -> DataFrame:
-    """(entity, surrogate) for the entities whose first surrogate is an entity itself."""
-    names = stored(found.select("entity"), "entities")
-    walking = names.select("entity", _of(F.col("entity"), key).alias("surrogate"))
-    done, known = None, names.select(F.col("entity").alias("surrogate"))
-    walking = stored(walking.join(known, "surrogate", "left_semi").select("entity", "surrogate"), "walk")
-    for _ in range(HOPS):
-        if walking.isEmpty():
-            break
-        hop = walking.select("entity", _of(F.col("surrogate"), key).alias("surrogate"))
-        flagged = stored(hop.join(known.withColumn("_hit", F.lit(True)), "surrogate", "left").select("entity", "surrogate", "_hit"), "walk")
-        free = flagged.filter("_hit is null").select("entity", "surrogate")
-        done = free if done is None else done.unionByName(free)
-        walking = flagged.filter("_hit").select("entity", "surrogate")
-    else:
-        if not walking.isEmpty():
-            raise ValueError("a format has fewer surrogates than entities; widen it")
-    return done if done is not None else walking
+    """(entity, surrogate) for the entities whose first surrogate is an entity itself.
+
+    They are permuted under further keys, one after the other, until the surrogate is no entity and
+    nobody else's surrogate. Under one key no two of them meet, so only earlier ones have to be looked up.
+    """
+    names = stored(found.select("entity", _of(F.col("entity"), key).alias("surrogate")), "entities")
+    entity = names.select(F.col("entity").alias("surrogate"))
+    taken = entity.unionByName(names.select("surrogate"))
+    left = stored(names.join(entity, "surrogate", "left_semi").select("entity", "surrogate"), "clashes")
+    done = left.limit(0)
+    for attempt in range(1, ATTEMPTS + 1):
+        if left.isEmpty():
+            return done
+        new = left.select("entity", _of(F.col("entity"), f"{key}#{attempt}").alias("surrogate"))
+        used = taken.unionByName(done.select("surrogate")).select("surrogate", F.lit(True).alias("_hit"))
+        marked = stored(new.join(used.distinct(), "surrogate", "left").select("entity", "surrogate", "_hit"), "clashes")
+        done = done.unionByName(marked.filter("_hit is null").select("entity", "surrogate"))
+        left = marked.filter("_hit").select("entity", "surrogate")
+    raise ValueError("a format has too few surrogates for its entities; widen it")
 
 
 def _of(entity: Column, key: str) -> Column:

@@ -15,7 +15,7 @@ from tenderloom.functions.numbers import amount_text, parse_amount
 from tenderloom.operators.classify import classify, snapshot
 from tenderloom.rules import DEFAULT_RULES, RuleSet
 from tenderloom.schema import TENDER_COLUMNS
-from tenderloom.shared import spread, written
+from tenderloom.shared import written
 
 ROWS_PER_PAGE = 20
 
@@ -93,7 +93,7 @@ def tenders_of(documents: DataFrame) -> DataFrame:
 
 
 def tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tenders_of(spread(table(spark, sf_dir, "documents")))
+    return tenders_of(table(spark, sf_dir, "documents"))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,16 +134,24 @@ def _escaped(col: Column) -> Column:
 
 
 def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tenders rendered as result pages of at most ``ROWS_PER_PAGE`` record blocks."""
+    """Tenders rendered as result pages of at most ``ROWS_PER_PAGE`` record blocks.
+
+    Every third record has elements nested in its title and values, and every page a block after the container.
+    """
+    nested = F.col("row_index_on_page").cast("long") % 3 == 1
+
+    def within(name: str) -> Column:
+        return F.when(nested, F.lit(f"<{name}><{name}></{name}></{name}>")).otherwise(F.lit(""))
 
     def field(label: str, value: Column) -> list[Column]:
         opening = f'<li><b>{label}:</b> <span style="color:#607D8B">'
-        return [F.lit(opening), _escaped(value), F.lit("</span></li>")]
+        return [F.lit(opening), within("span"), _escaped(value), F.lit("</span></li>")]
 
     c = F.col
     block = F.concat(
         F.lit('<div class="list-group-item list-group-item-result"><div class="list-group-item-header">'),
         F.lit('<div class="col-lg-12"><b>Objekti i procedurës së prokurimit:</b> '),
+        within("div"),
         _escaped(c("objekti_procedurave")),
         F.lit('</div></div><ul class="list-inline">'),
         *field("Autoriteti Kontraktues", c("autoriteti_kontraktues")),
@@ -174,11 +182,11 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id"),
         F.lit('</b> nga 900</p><div class="search-result-container" id="simple-search">'),
         F.array_join("found.block", ""),
-        F.lit("</div></body></html>"),
+        F.lit('</div><div class="list-group-item list-group-item-result">after the list</div></body></html>'),
     )
     return listed.select("page_id", F.lit("").alias("url"), html.alias("html"))
 
 
 def stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result pages as a page corpus on disk, the form ingest reads."""
-    return spread(written(result_pages(spark, sf_dir), "pages"))
+    return written(result_pages(spark, sf_dir), "pages")

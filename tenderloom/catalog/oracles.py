@@ -225,7 +225,7 @@ DRIFT = (
 )
 
 HASHED = f"hashed AS (SELECT *, {fingerprint()} AS source_hash FROM tenders)"
-ARRIVAL = "CAST(page_fetched AS INTEGER), CAST(row_index_on_page AS INTEGER)"
+ARRIVAL = "CAST(page_fetched AS BIGINT), CAST(row_index_on_page AS BIGINT)"
 
 
 def first_of(source: str, where: str = "TRUE") -> str:
@@ -326,7 +326,7 @@ def all_oracles() -> dict[str, str]:
     stored = f"SELECT nr AS id, {STORED}, '2024-06-01 00:00:00' AS first_seen_at, '2024-06-01 00:00:00' AS last_seen_at FROM base"
     qc, strict_qc = _qc("CAST(score AS VARCHAR)", "['mixed_it_bundle'] || mixed_reasons")
     old_qc, old_strict_qc = _qc("CAST(len(broad_reasons) AS VARCHAR)", "exclusion_reasons")
-    flags = f"""flags AS (SELECT CAST(page_fetched AS INTEGER) AS page, bool_or(coalesce(viti = '2025' AND
+    flags = f"""flags AS (SELECT CAST(page_fetched AS BIGINT) AS page, bool_or(coalesce(viti = '2025' AND
       published BETWEEN TIMESTAMP '2024-02-01' AND TIMESTAMP '2024-03-15', FALSE)) AS matched FROM tenders GROUP BY 1)"""
     deltas = _deltas()
     queue = f"{TIER.replace('confidence', 'software_confidence')} DESC, CAST(software_match_score AS INTEGER) DESC, data_iso, row_index_on_page, id"
@@ -382,7 +382,7 @@ FROM (SELECT id, {squeeze('objekti_procedurave')} AS s FROM tenders)""",
         + f"""SELECT (SELECT count(DISTINCT source_hash) FROM hashed) AS row_count_deduped, count(*) AS row_count_raw,
   count(*) - count(DISTINCT source_hash) AS duplicate_fingerprints,
   (SELECT count(*) FROM ({first_of('hashed')}) WHERE {squeeze('objekti_procedurave')} = '') AS rows_missing_object,
-  max(CAST(page_fetched AS INTEGER)) AS last_page_number, count(DISTINCT page_fetched) AS pages_with_rows,
+  max(CAST(page_fetched AS BIGINT)) AS last_page_number, count(DISTINCT page_fetched) AS pages_with_rows,
   '2024' AS target_year FROM hashed""",
         "upsert_merge": merged("2024-06-02 00:00:00"),
         "upsert_replay": merged("2024-06-03 00:00:00"),
@@ -408,7 +408,7 @@ FROM (SELECT source_hash, source_hash IN (SELECT source_hash FROM hashed WHERE v
 WHERE visit <= coalesce(cut, visit)""",
         "page_cap": t
         + """SELECT count(*) AS pages_visited, max(page) AS last_page FROM (
-  SELECT DISTINCT CAST(page_fetched AS INTEGER) AS page FROM tenders ORDER BY page LIMIT 7)""",
+  SELECT DISTINCT CAST(page_fetched AS BIGINT) AS page FROM tenders ORDER BY page LIMIT 7)""",
         "latest_label_one": labels + f"SELECT {label_row} FROM last_one",
         "latest_label_ties": labels + f"SELECT {label_row} FROM last_ties",
         "label_listing": labels
@@ -500,8 +500,8 @@ WHERE snapshot_score <> current_score OR snapshot_confidence <> current_confiden
         )
         + " FROM pages",
         "page_counters": t
-        + """SELECT DISTINCT CAST(page_fetched AS BIGINT) AS page_id, CAST(page_fetched AS INTEGER) AS page_number,
-  CAST(900 AS INTEGER) AS page_total FROM tenders""",
+        + """SELECT DISTINCT CAST(page_fetched AS BIGINT) AS page_id, CAST(page_fetched AS BIGINT) AS page_number,
+  CAST(900 AS BIGINT) AS page_total FROM tenders""",
         "page_records": t
         + "SELECT "
         + ", ".join(

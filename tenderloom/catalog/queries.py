@@ -16,7 +16,7 @@ from tenderloom.plans import export, reports, search
 from tenderloom.plans.ingest import run_ingest
 from tenderloom.rules import DEFAULT_RULES
 from tenderloom.schema import TENDER_COLUMNS, TITLE
-from tenderloom.shared import new_path, spread, written
+from tenderloom.shared import new_path, written
 from tenderloom.streaming.ingest import upsert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -379,7 +379,7 @@ def search_confidence_page(spark, sf):
 @query
 def search_fields_page(spark, sf):
     result = search.search_page(
-        a.tenders(spark, sf), authority="AUTORITETI e", cpv="7", koha_zhvillimit="muaji 1", sort="publication_asc", page_size=5000
+        a.tenders(spark, sf), authority="AUTORITETI e", cpv="7", koha_zhvillimit="muaji 1", sort="publication_asc", page_size=100
     )
     return _page_columns(result, "koha_zhvillimit")
 
@@ -551,7 +551,7 @@ def legacy_counts(spark, sf):
 
 @query
 def page_blocks(spark, sf):
-    pages = spread(a.table(spark, sf, "pages"))
+    pages = a.table(spark, sf, "pages")
     items = F.regexp_extract_all("html", F.lit(r"(?s)<li>(.*?)</li>"), F.lit(1))
     blocks = pages.select("page_id", F.posexplode(items).alias("position", "block"))
     return blocks.select("page_id", "position", extract.html_text(F.col("block")).alias("content"))
@@ -559,7 +559,7 @@ def page_blocks(spark, sf):
 
 @query
 def page_fields(spark, sf):
-    pages = spread(a.table(spark, sf, "pages"))
+    pages = a.table(spark, sf, "pages")
     found = {t: F.regexp_extract("html", rf"(?s)<{t}\b[^>]*>(.*?)</{t}>", 1) for t in ("title", "h1")}
     return pages.select("page_id", *[extract.html_text(c, " ").alias(t) for t, c in found.items()])
 

@@ -200,9 +200,9 @@ def invariant_violations(prefix: str = "") -> Column:
     unexplained = ~strict & broad & excluded & (F.size(prefix + "strict_excluded_reasons") == 0)
     return F.array_compact(
         F.array(
-            F.when(strict & ~broad, F.lit("strict True but broad False")),
-            F.when(strict & excluded, F.lit("strict True but hardware-exclusion signals fired")),
-            F.when(unexplained, F.lit("excluded from strict but excluded_reasons empty")),
+            F.when(strict & ~broad, F.lit("strict without broad")),
+            F.when(strict & excluded, F.lit("strict in spite of an exclusion")),
+            F.when(unexplained, F.lit("not strict, yet no reason given")),
         )
     )
 

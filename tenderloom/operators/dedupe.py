@@ -14,8 +14,9 @@ STORED_COLUMNS = ("id", HASH, *TENDER_COLUMNS, "first_seen_at", "last_seen_at")
 
 
 def arrival() -> list[Column]:
-    """Arrival order of a record: page, then row on the page."""
-    return [F.col(c).try_cast("int").alias(c) for c in ("page_fetched", "row_index_on_page")]
+    """Arrival order of a record: page, then row on the page; unreadable numbers come last."""
+    last = F.lit((1 << 63) - 1)
+    return [F.coalesce(F.col(c).try_cast("long"), last).alias(c) for c in ("page_fetched", "row_index_on_page")]
 
 
 def fingerprinted(df: DataFrame) -> DataFrame:

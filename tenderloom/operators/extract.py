@@ -34,8 +34,8 @@ BLOCK = rf"(?i)<div\b{_with_class(*BLOCK_CLASSES)}[^>]*>"
 UNSHOWN = r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->"
 TAGS = r"(?s)<!--.*?-->|<[^>]*>"
 REFERENCE = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z0-9]+);"
-INLINE_LIST = rf"(?is)<ul\b{_with_class('list-inline')}[^>]*>(.*?)</ul>"
-HEADER = rf"(?is)<div\b{_with_class('list-group-item-header')}[^>]*>(.*)"
+INLINE_LIST = rf"(?i)<ul\b{_with_class('list-inline')}[^>]*>"
+HEADER = rf"(?i)<div\b{_with_class('list-group-item-header')}[^>]*>"
 SPAN = r"(?is)<span\b[^>]*>(.*?)</span>"
 HIGHLIGHTED = rf"(?s)<(?i:span)\b(?=[^>]*\b(?i:style)\s*=\s*[\"'][^\"'>]*{HIGHLIGHT})[^>]*>"
 
@@ -49,6 +49,68 @@ def _after(col: Column, opening: str) -> Column:
     return F.try_element_at(F.split(col, opening, 2), F.lit(2))
 
 
+def _tag_steps(text: Column, name: Column) -> Column:
+    """Opening and closing tags of one element name in order: whether closing, and lengths of tag and of what precedes it."""
+    tag = F.concat(F.lit("(?i)<"), name, F.lit(r"\b[^>]*>|</"), name, F.lit(r"\s*>"))
+    tags = F.regexp_extract_all(text, tag, F.lit(0))
+    parts = F.slice(F.split(text, tag, -1), F.lit(1), F.size(tags))
+    return F.zip_with(
+        tags,
+        parts,
+        lambda t, p: F.struct(F.startswith(t, F.lit("</")).alias("closing"), F.length(t).alias("tag"), F.length(p).alias("part")),
+    )
+
+
+def _inside(after: Column, name: Column | str) -> Column:
+    """Text up to the tag that closes an element whose opening tag stands before ``after``; all of it if none does."""
+    name = F.lit(name) if isinstance(name, str) else name
+
+    def walked(text: Column) -> Column:
+        def step(at: Column, s: Column) -> Column:
+            depth = at["depth"] + F.when(s["closing"], -1).otherwise(1)
+            moved = at["end"] + s["part"] + F.when(depth == 0, 0).otherwise(s["tag"])
+            return F.when(at["depth"] == 0, at).otherwise(F.struct(depth.alias("depth"), moved.alias("end")))
+
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("end"))
+        return F.struct(text.alias("text"), F.aggregate(_tag_steps(text, name), start, step).alias("at"))
+
+    found = F.transform(F.array(after), walked)
+    cut = lambda x: F.when(x["at"]["depth"] == 0, F.substring(x["text"], F.lit(1), x["at"]["end"])).otherwise(x["text"])
+    return F.transform(found, cut)[0]
+
+
+def _children(text: Column, name: str) -> Column:
+    """Contents of the outermost elements of one name."""
+
+    def step(at: Column, s: Column) -> Column:
+        here = at["here"] + s["part"]
+        opens = ~s["closing"] & (at["depth"] == 0)
+        closes = s["closing"] & (at["depth"] == 1)
+        span = F.array(F.struct(at["start"].alias("start"), here.alias("end")))
+        return F.struct(
+            F.greatest(at["depth"] + F.when(s["closing"], -1).otherwise(1), F.lit(0)).alias("depth"),
+            (here + s["tag"]).alias("here"),
+            F.when(opens, here + s["tag"]).otherwise(at["start"]).alias("start"),
+            F.when(closes, F.concat(at["found"], span)).otherwise(at["found"]).alias("found"),
+        )
+
+    start = F.struct(
+        F.lit(0).alias("depth"),
+        F.lit(0).alias("here"),
+        F.lit(0).alias("start"),
+        F.expr("cast(array() AS array<struct<start:int,end:int>>)").alias("found"),
+    )
+    spans = F.aggregate(_tag_steps(text, F.lit(name)), start, step)["found"]
+    return F.transform(spans, lambda x: F.substring(text, x["start"] + 1, x["end"] - x["start"]))
+
+
+def _each_after(text: Column, opening: str, standin: str) -> Column:
+    """The text after every match of ``opening``; later matches stand in it as ``standin``."""
+    parts = F.split(text, opening, -1)
+    places = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: i > 1)
+    return F.transform(places, lambda i: F.array_join(F.slice(parts, i, F.size(parts)), standin))
+
+
 def _decoded(ref: Column) -> Column:
     """The character of a reference such as &euml; or &#235;, the reference itself when unknown."""
     names = "\x02".join(f"{n}\x01{chr(c)}" for n, c in name2codepoint.items())
@@ -96,7 +158,7 @@ def html_text(col: Column, gap: str = "") -> Column:
 def page_counter(html: Column) -> tuple[Column, Column]:
     """(page number, page total), nulls when the page shows no counter."""
     shown = F.regexp_replace(html, UNSHOWN, " ")
-    return tuple(F.nullif(F.regexp_extract(shown, PAGE_COUNTER, i), F.lit("")).try_cast("int") for i in (1, 2))
+    return tuple(F.nullif(F.regexp_extract(shown, PAGE_COUNTER, i), F.lit("")).try_cast("long") for i in (1, 2))
 
 
 def blocks(pages: DataFrame, ordinal: str = "page_id", empty_pages: bool = False) -> DataFrame:
@@ -109,9 +171,11 @@ def blocks(pages: DataFrame, ordinal: str = "page_id", empty_pages: bool = False
     inside = computed_once(
         pages,
         {
-            "page_number": F.coalesce(number, F.col(ordinal).cast("int")),
+            "page_number": F.coalesce(number, F.col(ordinal).cast("long")),
             "page_total": total,
-            "inside": _after(F.col("html"), CONTAINER),
+            "inside": _inside(
+                _after(F.col("html"), CONTAINER), F.regexp_extract("html", CONTAINER.replace(r"<\w+\b", r"<(\w+)\b", 1), 1)
+            ),
         },
         keep=[],
     )
@@ -136,7 +200,7 @@ TEXT_FIELDS = ("objekti_procedurave", *PLAIN_FIELDS, "data_publikimit", "ora_pub
 
 def _header_cell(header: Column) -> Column:
     wide, medium = (_after(header, rf"(?i)<\w+\b{_with_class(css)}[^>]*>") for css in ("col-lg-12", "col-md-12"))
-    return F.regexp_replace(F.coalesce(wide, medium, F.lit("")), r"(?is)</div>.*", "")
+    return _inside(F.coalesce(wide, medium, F.lit("")), "div")
 
 
 def _title(whole: Column) -> Column:
@@ -180,11 +244,7 @@ def _first_text(items: Column) -> Column:
 
 def _highlighted_value(item: Column) -> Column:
     """First non-empty highlighted span, else the italic text."""
-    opened = F.split(item, HIGHLIGHTED)
-    spans = F.transform(
-        F.slice(opened, 2, F.greatest(F.size(opened) - 1, F.lit(0))),
-        lambda t: _stripped(F.regexp_replace(t, r"(?is)</span>.*", "")),
-    )
+    spans = F.transform(_each_after(item, HIGHLIGHTED, "<span>"), lambda t: _stripped(_inside(t, "span")))
     italic = _stripped(F.regexp_extract(item, _element("i"), 1))
     return F.coalesce(F.nullif(_first_text(spans), F.lit("")), italic)
 
@@ -194,11 +254,11 @@ def _span_texts(fragment: Column) -> Column:
 
 
 def _code_list(item: Column) -> Column:
-    """Texts of the spans inside the highlighted one, else its own text."""
-    inside = F.coalesce(_after(item, HIGHLIGHTED), F.lit(""))
-    listed = F.array_join(F.filter(_span_texts(inside), lambda t: t != ""), LIST_SEPARATOR)
-    own = _stripped(F.regexp_replace(inside, r"(?is)</span>.*", ""))
-    return F.coalesce(F.nullif(listed, F.lit("")), own)
+    """Texts of the spans that are children of the highlighted one, else its own text."""
+    inside = _inside(F.coalesce(_after(item, HIGHLIGHTED), F.lit("")), "span")
+    texts = F.transform(_children(inside, "span"), lambda t: _stripped(t))
+    listed = F.array_join(F.filter(texts, lambda t: t != ""), LIST_SEPARATOR)
+    return F.coalesce(F.nullif(listed, F.lit("")), _stripped(inside))
 
 
 def _date_span(item: Column) -> Column:
@@ -217,11 +277,11 @@ def records(pages: DataFrame, ordinal: str = "page_id", empty_pages: bool = Fals
     """
     place = ["page_number", "row_index"]
     found = blocks(pages, ordinal, empty_pages).select(*place, "block")
-    lists = F.array_join(F.regexp_extract_all("block", F.lit(INLINE_LIST), F.lit(1)), " ")
+    lists = F.array_join(F.transform(_each_after(F.col("block"), INLINE_LIST, "<ul>"), lambda t: _inside(t, "ul")), " ")
     parts = computed_once(
         found,
         {
-            "header": F.regexp_extract("block", HEADER, 1),
+            "header": F.coalesce(_inside(_after(F.col("block"), HEADER), "div"), F.lit("")),
             "items": F.filter(F.split(lists, r"(?i)<li\b[^>]*>"), lambda i: F.rlike(i, F.lit(r"(?i)<b\b"))),
         },
         keep=place,

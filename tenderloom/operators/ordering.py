@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tenderloom.shared import written
 
-# Pages up to this row are served by a top-k, deeper ones by numbering all rows.
-TOP_K_ROWS = 10_000
-
 # Keys per block of a running total. Three levels of 4096 cover all positive
 # 32-bit keys, so no window ever holds more than 4096 rows.
 BLOCK = 4096
@@ -76,13 +73,8 @@ def running_totals(df: DataFrame, key: str, totals: dict[str, Column]) -> DataFr
 
 
 def page_slice(df: DataFrame, order: list[Column], page: int, page_size: int) -> DataFrame:
-    """One page of the ordered rows.
+    """One page of the ordered rows, at any depth by the same sort with offset and limit.
 
-    A shallow page is a top-k. A deep page would make one task hold every row
-    before it, so rows are numbered in parallel and the page picked by number.
+    Spark keeps the best rows per task for a page near the top and sorts by ranges for a deep one.
     """
-    offset = (page - 1) * page_size
-    if offset + page_size <= TOP_K_ROWS:
-        return df.orderBy(*order).offset(offset).limit(page_size)
-    numbered = number_rows(df, order, "_row")
-    return numbered.filter(F.col("_row").between(offset + 1, offset + page_size)).orderBy("_row").drop("_row")
+    return df.orderBy(*order).offset((page - 1) * page_size).limit(page_size)

@@ -44,7 +44,7 @@ def daily_scope(year: str, mark: datetime | None, now: datetime) -> Column:
 
 def page_flags(rows: DataFrame, scope: Column) -> DataFrame:
     """One row per page number with whether any of its records is in scope."""
-    page = F.col("page_fetched").cast("int").alias("page")
+    page = F.col("page_fetched").cast("long").alias("page")
     return rows.groupBy(page).agg(F.coalesce(F.bool_or(scope), F.lit(False)).alias("matched"))
 
 

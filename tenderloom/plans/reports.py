@@ -211,7 +211,7 @@ def validation_report(
 def crawl_qc(records: DataFrame, target_year: str) -> DataFrame:
     """Duplicate and missing-title counts of a crawl, with the last page reached."""
     pages = records.agg(
-        F.max(F.col("page_fetched").try_cast("int")).alias("last_page_number"),
+        F.max(F.col("page_fetched").try_cast("long")).alias("last_page_number"),
         F.count_distinct("page_fetched").alias("pages_with_rows"),
     )
     return one_row(duplicate_counts(records), pages).withColumn("target_year", F.lit(target_year))

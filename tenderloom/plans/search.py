@@ -71,7 +71,7 @@ def result_order(sort: str, software: str) -> list[Column]:
     elif sort in OLDEST:
         by_date = [F.asc_nulls_first("data_iso"), F.asc("id")]
     else:
-        raise ValueError("invalid sort (use newest or oldest)")
+        raise ValueError(f"unknown order {sort!r}")
     if software == "none":
         return by_date
     return [F.desc(confidence_rank(F.col("confidence"))), F.desc("score"), *by_date]
@@ -92,9 +92,9 @@ def matching(
     The confidence filter only applies together with a software mode (P10).
     """
     if software not in ("none", *SOFTWARE_MODES):
-        raise ValueError('software must be "none", "broad", "strict", or "near_miss"')
+        raise ValueError(f"unknown software mode {software!r}")
     if confidence not in (None, "any", *CONFIDENCE_TIERS):
-        raise ValueError('confidence must be "high", "medium", "low", or "any"')
+        raise ValueError(f"unknown confidence {confidence!r}")
     found = tenders
     for condition in text_filters(**texts):
         found = found.filter(condition)
@@ -133,9 +133,8 @@ def search_page(
     The page holds at most 100 rows and is kept cached, because both the label
     lookup and the result read it.
     """
-    if page < 1 or page_size < 1:
-        raise ValueError("page and page size must be positive integers")
-    page_size = min(page_size, MAX_PAGE_SIZE)
+    if page < 1 or not 1 <= page_size <= MAX_PAGE_SIZE:
+        raise ValueError(f"pages count from 1 and hold 1 to {MAX_PAGE_SIZE} rows")
     found = matching(tenders, labels, software=software, **filters)
     extra = RESULT_COLUMNS if software != "none" else ()
     order = result_order(sort, software)

@@ -13,7 +13,7 @@ BOM = "\ufeff"
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str], order: list[Column], bom: bool = True) -> int:
-    """Ordered part files with a header each; returns the row count.
+    """Ordered part files with a header each, in place of what an earlier run left; returns the row count.
 
     Parts are ranges of the order, so read by name they give the sorted data set;
     no task ever holds all of it.
@@ -21,7 +21,7 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str], order: list[Colu
     counted = Observation()
     first, *rest = columns
     named = df.orderBy(*order).select(F.col(first).alias(BOM + first if bom else first), *rest)
-    named.observe(counted, F.count(F.lit(1)).alias("rows")).write.options(**CSV_OPTIONS, emptyValue="").csv(path)
+    named.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").options(**CSV_OPTIONS, emptyValue="").csv(path)
     return counted.get["rows"]
 
 
@@ -33,4 +33,4 @@ def write_tenders_csv(tenders: DataFrame, path: str, include_source_hash: bool =
 
 def write_report(report: DataFrame, path: str) -> None:
     """Report rows as JSON lines."""
-    report.write.json(path)
+    report.write.mode("overwrite").json(path)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tenderloom.schema import CODE, KIND, PAGE_SCHEMA, TITLE, canonical
-from tenderloom.shared import spread
 
 # Quotes are doubled inside quoted fields and blanks at the ends of fields are data.
 CSV_OPTIONS = {
@@ -32,7 +31,7 @@ def read_tenders(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """S11."""
-    return spread(spark.read.schema(PAGE_SCHEMA).parquet(path))
+    return spark.read.schema(PAGE_SCHEMA).parquet(path)
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:

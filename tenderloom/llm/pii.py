@@ -188,10 +188,18 @@ def surrogate(entity: Column, kind: Column, key: str) -> Column:
     return F.when(kind == "ip", _ip(entity, key)).otherwise(_bound(_bound(ends, cut), joined))
 
 
+def _found(text: Column) -> Column:
+    """All entities of a text in order. Every format holds a digit, one of ``@ = :``, or a title, so a
+    text without any of them is not searched further."""
+    hint = text.rlike("[0-9@=:]")
+    for title in (*FEMALE, *MALE):
+        hint = hint | F.contains(text, F.lit(title))
+    return F.when(hint, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.expr("array()").cast("array<string>"))
+
+
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(entity, n): every distinct entity in the table with its number of occurrences."""
-    found = F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))
-    return docs.select(F.explode(found).alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
+    return docs.select(F.explode(_found(F.col(text_col))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
 
 
 def collisions(found: DataFrame, key: str) -> DataFrame:
@@ -230,12 +238,11 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
     """
     clash = stored(collisions(entities(docs, text_col), key), "collisions")
     text = F.col(text_col)
-    pattern = F.lit(PATTERN)
-    rows = docs.withColumns({"_found": F.regexp_extract_all(text, pattern, F.lit(0)), "_parts": F.split(text, PATTERN, -1)})
+    rows = docs.withColumn("_found", _found(text)).withColumn("_parts", F.when(F.size("_found") > 0, F.split(text, PATTERN, -1)))
     if clash.isEmpty():
         return _assembled(rows.withColumn("_clash", F.lit(None).cast("map<string,string>")), docs, key, text_col)
     hit = (
-        docs.select(text, F.explode(F.array_distinct(F.regexp_extract_all(text, pattern, F.lit(0)))).alias("entity"))
+        docs.select(text, F.explode(F.array_distinct(_found(text))).alias("entity"))
         .join(clash, "entity")
         .groupBy(F.sha2(text, 256).alias("_text"))
         .agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("_clash"))  # a text's own entities

@@ -224,15 +224,8 @@ def minimisers(values: np.ndarray, window: int) -> np.ndarray:
     # the first position at or after each window's start that holds its minimum
     moved = (smallest[1:] != smallest[:-1]) | (values[: len(smallest) - 1] == smallest[1:])
     order = np.flatnonzero(np.concatenate(([True], moved)))
-    picked = set()
-    found = []
-    for start in order:
-        low = smallest[start]
-        at = start + int(np.argmax(values[start : start + window] == low))
-        if at not in picked:
-            picked.add(at)
-            found.append(at)
-    return np.array(found)
+    windows = np.lib.stride_tricks.sliding_window_view(values, window)[order]
+    return np.unique(order + windows.argmin(axis=1))
 
 
 def texts_as_bytes(column: pa.Array) -> list[bytes | None]:

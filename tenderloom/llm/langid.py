@@ -7,7 +7,7 @@ profile length if the language's profile lacks it. The smallest distance wins, t
 the alphabetically first language.
 
 Profiles are fitted on at most ``SAMPLE`` documents of each language, chosen by a hash of
-their ids; they hold ``LENGTH`` n-grams each. Prediction reads the whole text of every row.
+id and text; they hold ``LENGTH`` n-grams each. Prediction reads the whole text of every row.
 """
 
 from __future__ import annotations
@@ -72,22 +72,26 @@ def _has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+def _uniform(*parts: Column) -> Column:
+    """A number from 0 to 1 that only depends on ``parts``."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit("langid"), *parts), 11) / F.lit(float(1 << 53))
+
+
 def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", sample: int = SAMPLE, length: int = LENGTH) -> DataFrame:
     """(lang, code, rank): profiles of all languages, at most ``length`` rows each.
 
-    Counts of the sampled texts are summed in the tasks first; the windows keep ``sample`` or
-    ``length`` rows of a language, which Spark cuts down before the shuffle as well.
+    The rows with the smallest hashes of id and text are the sample; equal rows have one hash. A table of language sizes, which
+    Spark broadcasts while it is small, drops most other rows before anything is shuffled. Counts of
+    the sampled texts are summed in the tasks first. A language of fewer documents is used whole.
     """
-    labelled = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    place = Window.partitionBy("lang").orderBy("_at", id_col)
-    chosen = (
-        labelled.select("lang", id_col, F.xxhash64(F.lit("langid"), id_col).alias("_at"))
-        .withColumn("_row", F.row_number().over(place))
-        .filter(F.col("_row") <= sample)
-        .select(id_col)
-        .distinct()
+    labelled = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "lang", F.col(id_col).alias("_id"), "text", _uniform(F.col(id_col), F.col("text")).alias("_at")
     )
-    texts = labelled.join(chosen, id_col, "left_semi").select("lang", "text")
+    sizes = stored(labelled.groupBy("lang").agg(F.count("*").alias("_n")), "languages")
+    # twice the sample in expectation; the exact cut then sees a few thousand rows of each language
+    likely = labelled.join(sizes, "lang").filter(F.col("_at") * F.col("_n") <= 2 * sample)
+    place = Window.partitionBy("lang").orderBy("_at", "_id", "text")
+    texts = likely.withColumn("_row", F.row_number().over(place)).filter(F.col("_row") <= sample).select("lang", "text")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -1,16 +1,22 @@
 """The stored registry: append-only batches made visible by their run record.
 
-A batch adds its new rows, the fingerprints it saw again, and last of all one run
-record. Readers only take batches with a run record, so an interrupted batch is
-never visible and its retry overwrites what it left. The stored rows themselves
-are never rewritten: a batch costs one scan of the fingerprint column plus its own size.
+A batch adds its new rows, the fingerprints it saw again and one run record, all in
+folders of its own attempt, and last of all a file named after the batch number that
+names the attempt. That file is created only if it is absent, so of two writers that
+started from the same log one publishes and the other fails without losing anything.
+Readers only take published attempts: an interrupted batch is never visible. The stored
+rows themselves are never rewritten: a batch costs one scan of the fingerprint column
+plus its own size.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -26,6 +32,7 @@ ROWS_SCHEMA = T.StructType(
         *[T.StructField(c, T.StringType()) for c in TENDER_COLUMNS],
         T.StructField("first_seen_at", T.TimestampNTZType()),
         T.StructField("batch_id", T.LongType()),
+        T.StructField("attempt", T.StringType()),
     ]
 )
 SEEN_SCHEMA = T.StructType(
@@ -33,8 +40,14 @@ SEEN_SCHEMA = T.StructType(
         T.StructField(HASH, T.StringType()),
         T.StructField("seen_at", T.TimestampNTZType()),
         T.StructField("batch_id", T.LongType()),
+        T.StructField("attempt", T.StringType()),
     ]
 )
+LOGGED_SCHEMA = T.StructType([*RUN_SCHEMA.fields, T.StructField("attempt", T.StringType())])
+
+
+class ConcurrentBatchError(RuntimeError):
+    """Another writer has published a batch since this one read the log; append again."""
 
 
 class TenderStore:
@@ -43,27 +56,47 @@ class TenderStore:
         self.path = path.rstrip("/")
 
     def _read(self, part: str, schema: T.StructType) -> DataFrame:
+        return self._or_empty(lambda: self.spark.read.schema(schema).parquet(f"{self.path}/{part}"), schema)
+
+    def _or_empty(self, read: Callable[[], DataFrame], schema: T.StructType) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{part}")
+            return read()
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _write(self, df: DataFrame, part: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{part}/batch_id={batch_id}")
+    def _write(self, df: DataFrame, part: str, batch_id: int, attempt: str) -> None:
+        df.write.parquet(f"{self.path}/{part}/batch_id={batch_id}/attempt={attempt}")
+
+    def _publish(self, batch_id: int, attempt: str) -> None:
+        """Make an attempt the batch of its number, unless another one is."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/published/{batch_id}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            out = files.create(path, False)
+        except Py4JJavaError as error:
+            if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
+            raise ConcurrentBatchError(f"batch {batch_id} was published by another writer") from error
+        out.writeBytes(attempt)
+        out.close()
+
+    def _attempts(self) -> DataFrame:
+        """The published attempts, one short row per batch."""
+        schema = T.StructType([T.StructField("value", T.StringType())])
+        return self._or_empty(lambda: self.spark.read.text(f"{self.path}/published"), schema).select(F.col("value").alias("attempt"))
 
     def runs(self) -> DataFrame:
-        """M3: the run log, one row per finished batch."""
-        return self._read("runs", RUN_SCHEMA)
+        """M3: the run log, one row per published batch."""
+        return self._published("runs", LOGGED_SCHEMA).select(*RUN_SCHEMA.names)
 
     def _published(self, part: str, schema: T.StructType) -> DataFrame:
-        done = self.runs().filter(F.col("status") == "ok").select("batch_id")
-        return self._read(part, schema).join(done, "batch_id", "left_semi")
+        return self._read(part, schema).join(self._attempts(), "attempt", "left_semi")
 
     def rows(self) -> DataFrame:
         """Published rows without the time they were last seen."""
-        return self._published("rows", ROWS_SCHEMA).drop("batch_id")
+        return self._published("rows", ROWS_SCHEMA).drop("batch_id", "attempt")
 
     def tenders(self) -> DataFrame:
         """The table with both audit times. Queries that leave out ``last_seen_at``
@@ -87,7 +120,8 @@ class TenderStore:
         """M1/M4: merge a batch and return its run record.
 
         A batch whose ``replay_key`` is already in the log is skipped, which makes a
-        stream batch that is delivered again harmless.
+        stream batch that is delivered again harmless. Raises ``ConcurrentBatchError`` if another
+        writer publishes in between; nothing of this batch is visible then, and it can be appended again.
         """
         log = self.runs().agg(
             F.coalesce(F.max("batch_id"), F.lit(-1)).alias("last"),
@@ -97,7 +131,7 @@ class TenderStore:
             done = self.runs().filter(F.col("replay_key") == replay_key).first()
             if done:
                 return done.asDict()
-        batch_id = log["last"] + 1
+        batch_id, attempt = log["last"] + 1, uuid.uuid4().hex
         started = utc_now()
 
         staged = written(first_wins(canonical(batch), copies="_copies"), "staged")
@@ -106,8 +140,8 @@ class TenderStore:
 
         fresh = staged.join(known, HASH, "left_anti").drop("_copies")
         rows = numbered(fresh, log["max_id"]).select("id", HASH, *TENDER_COLUMNS, stamp.alias("first_seen_at"))
-        self._write(rows, "rows", batch_id)
-        self._write(known.select(HASH, stamp.alias("seen_at")), "seen", batch_id)
+        self._write(rows, "rows", batch_id, attempt)
+        self._write(known.select(HASH, stamp.alias("seen_at")), "seen", batch_id, attempt)
 
         counts = staged.agg(F.count("*").alias("unique"), F.coalesce(F.sum("_copies"), F.lit(0)).alias("total")).first()
         total, inserted = counts["total"], counts["unique"] - known.count()
@@ -129,5 +163,6 @@ class TenderStore:
             "replay_key": replay_key,
         }
         entry = self.spark.createDataFrame([tuple(record[f] for f in RUN_SCHEMA.names)], RUN_SCHEMA)
-        self._write(entry.drop("batch_id").coalesce(1), "runs", batch_id)
+        self._write(entry.drop("batch_id").coalesce(1), "runs", batch_id, attempt)
+        self._publish(batch_id, attempt)
         return record

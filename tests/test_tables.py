@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tenderloom.operators import dedupe, ordering, windows
-from tenderloom.operators.store import TenderStore
+from tenderloom.operators.store import ConcurrentBatchError, TenderStore
 from tenderloom.plans.ingest import run_ingest
 from tenderloom.schema import PAGE_SCHEMA, TENDER_COLUMNS, TITLE
 from tenderloom.streaming.ingest import upsert_stream, without_repeats
@@ -78,6 +79,26 @@ def test_merge_is_first_wins_and_replayable(make_tenders):
     assert tuple(dedupe.merge_counts(base, batch).first()) == (2, 2)
 
 
+def test_second_of_two_writers_fails_and_can_append_again(spark, make_tenders, tmp_path):
+    one, two = (TenderStore(spark, str(tmp_path / "store")) for _ in range(2))
+    first, second = make_tenders(sample("a"), sample("b"), ids=False), make_tenders(sample("b"), sample("c"), ids=False)
+    publish = two._publish
+
+    def overtaken(batch_id, attempt):
+        two._publish = publish
+        one.append(first, T1)
+        publish(batch_id, attempt)
+
+    two._publish = overtaken
+    with pytest.raises(ConcurrentBatchError):
+        two.append(second, T2)
+    assert set(table_of(one.tenders())) == {"a", "b"}
+    run = two.append(second, T2)
+    assert (run["batch_id"], run["rows_inserted"], run["duplicates_skipped"]) == (1, 1, 1)
+    assert set(table_of(one.tenders())) == {"a", "b", "c"}
+    assert sorted(r.id for r in one.tenders().select("id").collect()) == [1, 2, 3]
+
+
 def test_store_equals_merge_and_hides_unfinished_batches(spark, make_tenders, tmp_path):
     store = TenderStore(spark, str(tmp_path / "store"))
     assert store.tenders().count() == 0
@@ -91,10 +112,10 @@ def test_store_equals_merge_and_hides_unfinished_batches(spark, make_tenders, tm
     broken = TenderStore(spark, store.path)
     write = broken._write
 
-    def fail_on_runs(df, part, batch_id):
+    def fail_on_runs(df, part, batch_id, attempt):
         if part == "runs":
             raise Lost
-        write(df, part, batch_id)
+        write(df, part, batch_id, attempt)
 
     broken._write = fail_on_runs
     try:

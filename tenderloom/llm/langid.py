@@ -80,9 +80,11 @@ def _uniform(*parts: Column) -> Column:
 def fit(docs: DataFrame, training: Column, id_col: str = "doc_id", sample: int = SAMPLE, length: int = LENGTH) -> DataFrame:
     """(lang, code, rank): profiles of all languages, at most ``length`` rows each.
 
-    The rows with the smallest hashes of id and text are the sample; equal rows have one hash. A table of language sizes, which
+    The rows with the smallest hashes of id and text are the sample. A table of language sizes, which
     Spark broadcasts while it is small, drops most other rows before anything is shuffled. Counts of
     the sampled texts are summed in the tasks first. A language of fewer documents is used whole.
+    Rows equal in id and text share a hash, so a language of more than twice ``sample`` rows that
+    are all equal has no profile.
     """
     labelled = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "lang", F.col(id_col).alias("_id"), "text", _uniform(F.col(id_col), F.col("text")).alias("_at")

@@ -8,7 +8,9 @@ carries its gender) stay. Card numbers keep a valid check digit and addresses st
 A permutation never maps two entities of a format to one surrogate, and the same entity has
 the same surrogate in all documents. What it can do is hit another entity of the corpus.
 That is the collision check: surrogates are looked up among all entities found, and an entity
-whose surrogate is one gets a surrogate under another key that is nobody else's either.
+whose surrogate is one gets a surrogate under another key that is nobody else's either. An entity
+of a format that is used up, or whose characters belong to no class, gets an invented value of its
+kind that is longer; invented values grow until one is free, so every entity gets a surrogate.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "г-н")
 _WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 KINDS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|(?:token|secret|password|api[_-]?key)\s*[=:]\s*[\"']?[A-Za-z0-9+/_-]{16,})",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|(?:token|secret|password|api[_-]?key)\s*[=:]\s*[\"']?(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{16,})",
     "phone": r"(?<![\w.])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "card": r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\w-])",
@@ -188,6 +190,52 @@ def surrogate(entity: Column, kind: Column, key: str) -> Column:
     return F.when(kind == "ip", _ip(entity, key)).otherwise(_bound(_bound(ends, cut), joined))
 
 
+# Letters for the sixteen digits of a hash, so that syllables of an invented name can be said.
+FIRST, SECOND = "bdfghjklmnprstvz", "aeiouaeiouaeioua"
+
+
+def _syllables(digest: Column, n: int) -> Column:
+    pairs = F.transform(
+        F.sequence(F.lit(1), F.lit(2 * n - 1), F.lit(2)),
+        lambda i: F.concat(
+            F.translate(F.substring(digest, i, F.lit(1)), "0123456789abcdef", FIRST),
+            F.translate(F.substring(digest, i + 1, F.lit(1)), "0123456789abcdef", SECOND),
+        ),
+    )
+    return F.array_join(pairs, "")
+
+
+def invented(entity: Column, kind: Column, key: str, attempt: int) -> Column:
+    """A keyed value of the entity's kind that does not keep its length; it grows with ``attempt``."""
+
+    def made(e: Column) -> Column:
+        digest, head, tail = e["digest"], e["head"], e["tail"]
+        digits = F.translate(digest, "abcdef", "012345")
+        cut = lambda s, *sizes: [F.substring(s, 1 + sum(sizes[:i]), n) for i, n in enumerate(sizes)]
+        word = _syllables(digest, min(32, 3 + attempt))
+        ending = F.regexp_extract(e["entity"], r"(\p{Ll})\z", 1)
+        number = F.substring(digits, 1, 18)
+        long = F.substring(digest, 1, min(64, 32 + attempt))
+        return (
+            F.when(e["kind"] == "email", F.concat(word, F.lit("@"), F.substring(digest, 1, min(64, 8 + attempt)), tail))
+            .when(e["kind"] == "secret", F.concat(head, F.when(head == "AKIA", F.upper(long)).otherwise(long)))
+            .when(e["kind"] == "phone", F.concat_ws(" ", head, *cut(digits, 4, 4, 4, 4, 4)))
+            .when(e["kind"] == "ssn", F.concat_ws("-", *cut(digits, 3, 2, 4, 12)))
+            .when(e["kind"] == "card", F.concat(number, F.pmod(-_luhn_sum(number), F.lit(10)).cast("string")))
+            .when(e["kind"] == "ip", F.concat_ws(":", F.lit("2001:db8"), *cut(digest, 4, 4, 4, 4, 4, 4)))
+            .otherwise(F.concat(head, F.initcap(word), ending))
+        )
+
+    parts = F.struct(
+        entity.alias("entity"),
+        kind.alias("kind"),
+        _end(entity, kind, HEADS, r"\A({})").alias("head"),
+        _end(entity, kind, TAILS, r"({})\z").alias("tail"),
+        F.sha2(F.concat_ws("\x1f", F.lit(key), kind, entity), 256).alias("digest"),
+    )
+    return _bound(parts, made)
+
+
 def _found(text: Column) -> Column:
     """All entities of a text in order. Every format holds a digit, one of ``@ = :``, or a title, so a
     text without any of them is not searched further."""
@@ -207,21 +255,38 @@ def collisions(found: DataFrame, key: str) -> DataFrame:
 
     They are permuted under further keys, one after the other, until the surrogate is no entity and
     nobody else's surrogate. Under one key no two of them meet, so only earlier ones have to be looked up.
+    What is left after ``ATTEMPTS`` keys, or stays itself under three, gets an invented value; of
+    entities that meet there one has it and the others go on.
     """
     names = stored(found.select("entity", _of(F.col("entity"), key).alias("surrogate")), "entities")
     entity = names.select(F.col("entity").alias("surrogate"))
     taken = entity.unionByName(names.select("surrogate"))
-    left = stored(names.join(entity, "surrogate", "left_semi").select("entity", "surrogate"), "clashes")
+    hit = names.join(entity, "surrogate", "left_semi").select("entity", "surrogate")
+    rigid = F.col("surrogate") == F.col("entity")
+    for attempt in (1, 2):
+        rigid = rigid & (_of(F.col("entity"), f"{key}#{attempt}") == F.col("entity"))
+    clashes = stored(hit.withColumn("_rigid", rigid), "clashes")
+    left, last = (clashes.filter(c).select("entity", "surrogate") for c in ("not _rigid", "_rigid"))
     done = left.limit(0)
     for attempt in range(1, ATTEMPTS + 1):
         if left.isEmpty():
-            return done
+            break
         new = left.select("entity", _of(F.col("entity"), f"{key}#{attempt}").alias("surrogate"))
         used = taken.unionByName(done.select("surrogate")).select("surrogate", F.lit(True).alias("_hit"))
         marked = stored(new.join(used.distinct(), "surrogate", "left").select("entity", "surrogate", "_hit"), "clashes")
         done = done.unionByName(marked.filter("_hit is null").select("entity", "surrogate"))
         left = marked.filter("_hit").select("entity", "surrogate")
-    raise ValueError("a format has too few surrogates for its entities; widen it")
+    left, attempt = left.unionByName(last).select("entity"), 0
+    while not left.isEmpty():
+        entity = F.col("entity")
+        new = left.select("entity", invented(entity, kind_of(entity), f"{key}#invented{attempt}", attempt).alias("surrogate"))
+        one = new.groupBy("surrogate").agg(F.min("entity").alias("entity"))
+        used = taken.unionByName(done.select("surrogate"))
+        free = stored(one.join(used, "surrogate", "left_anti").select("entity", "surrogate"), "clashes")
+        done = done.unionByName(free)
+        left = stored(left.join(free, "entity", "left_anti"), "clashes")
+        attempt += 1
+    return done
 
 
 def _of(entity: Column, key: str) -> Column:

@@ -237,9 +237,9 @@ def invented(entity: Column, kind: Column, key: str, attempt: int) -> Column:
 
 
 def _found(text: Column) -> Column:
-    """All entities of a text in order. Every format holds a digit, one of ``@ = :``, or a title, so a
-    text without any of them is not searched further."""
-    hint = text.rlike("[0-9@=:]")
+    """All entities of a text in order. Every format holds a digit, one of ``@ = :``, AKIA, or a title,
+    so a text without any of them is not searched further."""
+    hint = text.rlike("[0-9@=:]") | F.contains(text, F.lit("AKIA"))
     for title in (*FEMALE, *MALE):
         hint = hint | F.contains(text, F.lit(title))
     return F.when(hint, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.expr("array()").cast("array<string>"))

@@ -228,5 +228,17 @@ def minimisers(values: np.ndarray, window: int) -> np.ndarray:
     return np.unique(order + windows.argmin(axis=1))
 
 
+def syncmers(words: np.ndarray, k: int, s: int = 2) -> np.ndarray:
+    """Positions of runs of ``k`` words whose smallest run of ``s`` words is the first or the last one in it.
+
+    The choice only depends on the run itself, so edits next to it don't change it. Of ``k - s``
+    consecutive runs one at least is selected.
+    """
+    if len(words) < k:
+        return np.zeros(0, np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(gram_hashes(words, s), k - s + 1).argmin(axis=1)
+    return np.flatnonzero((least == 0) | (least == k - s))
+
+
 def texts_as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -23,17 +23,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tenderloom.llm.common import gram_hashes, map_batches, map_groups, minimisers, mixed, ship, stored, texts_as_bytes, word_hashes
+from tenderloom.llm.common import gram_hashes, map_batches, map_groups, minimisers, mixed, ship, stored, syncmers, texts_as_bytes, word_hashes
 
 MIN_WORDS = 50
 
 
 def text_classes(
-    docs: DataFrame, shapes: list[tuple[int, int]], least: int, id_col: str, text_col: str
+    docs: DataFrame, shapes: list[tuple[int, int | None]], least: int, id_col: str, text_col: str
 ) -> tuple[DataFrame, DataFrame]:
     """Per document its words' digest and its selected positions; and the classes of equal words.
 
-    ``shapes`` are (words in a run, window of runs). Returns (profiles: doc_id, n_words, digest,
+    ``shapes`` are (words in a run, window of runs; None for syncmers). Returns (profiles: doc_id, n_words, digest,
     anchors: hashes of the runs, places, sizes, turns: how often the hash came before) and (classes: digest, head, copies).
     """
 
@@ -50,7 +50,7 @@ def text_classes(
             found = []
             for seed, window in shapes:
                 grams = gram_hashes(words, seed)
-                at = minimisers(grams, window)
+                at = syncmers(words, seed) if window is None else minimisers(grams, window)
                 found.append((grams[at].view(np.int64), at.astype(np.int32), np.full(len(at), seed, np.int32)))
             for column, parts in zip((anchors, places, sizes), zip(*found)):
                 column.append(np.concatenate(parts))

@@ -141,6 +141,32 @@ def test_fuzzy_passages_find_planted_ones(make_docs):
     assert chaining.fuzzy_passages(make_docs(*rows).limit(0)).count() == 0
 
 
+def _edited(rng, passage, at):
+    own = list(passage)
+    for i in at:
+        own[i] = f"edit{rng.randrange(10**6)}"
+    return own
+
+
+def test_fuzzy_passages_with_edits_near_the_ends(make_docs):
+    rng = random.Random(11)
+    fill = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    rows, expected = [], {}
+    for n in range(40):
+        length = 55 if n < 10 else 50 + n % 31
+        passage = fill(length)
+        at = (4, 50) if n < 10 else range(3 + n % 4, length - 2, 8 + n % 3)
+        edited = _edited(rng, passage, at)
+        rows += [(2 * n, " ".join(fill(30) + passage + fill(30)), "en", "s"), (2 * n + 1, " ".join(fill(40) + edited + fill(20)), "en", "s")]
+        expected[2 * n + 1] = (2 * n, 40, 40 + length, 1 - len(at) / length)
+    found = {r["doc_id"]: r for r in chaining.fuzzy_passages(make_docs(*rows)).collect()}
+    assert set(found) == set(expected)
+    for doc, (ref, start, end, same) in expected.items():
+        r = found[doc]
+        assert r["ref_id"] == ref and start <= r["start_word"] <= start + 7 and end - 7 <= r["end_word"] <= end
+        assert r["end_word"] - r["start_word"] >= 50 and r["similarity"] >= 0.8 and abs(r["similarity"] - same) < 0.06
+
+
 def test_edit_distance_and_chains_equal_brute_force():
     rng = random.Random(6)
 

@@ -3,7 +3,9 @@
 Entities are found by one regular expression per kind. A surrogate is the entity under a
 keyed permutation that keeps its format: digits stay digits, vowels stay vowels and
 consonants stay consonants of the same case and script, separators, titles and the ending of a name (which
-carries its gender) stay. Card numbers keep a valid check digit and addresses stay in range.
+carries its gender) stay. Each part of a name has its own surrogate, with or without a title, so the
+same surname is the same everywhere; parts found behind a title are replaced wherever the same text
+holds them as whole words in the same spelling. Card numbers keep a valid check digit and addresses stay in range.
 
 A permutation never maps two entities of a format to one surrogate, and the same entity has
 the same surrogate in all documents. What it can do is hit another entity of the corpus.
@@ -23,19 +25,30 @@ ROUNDS = 4
 ATTEMPTS = 32
 
 # The formats that are detected, in order of precedence, and titles with their gender.
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "г-жа")
-MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "г-н")
-_WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+FEMALE = (
+    "Mrs", "Ms", "Miss", "Frau", "Fräulein", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra", "Señorita", "Srta", "Госпожа", "г-жа",
+)
+MALE = ("Mr", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Господин", "г-н")
+NEUTRAL = ("Dr", "Dra", "Prof", "Professor", "Professorin", "Doctor", "Doktor", "Доктор", "Профессор")
+TITLES = (*FEMALE, *MALE, *NEUTRAL)
+_TITLE = "(?:" + "|".join(TITLES) + r")(?![\p{L}])\.?"
+_WORD = rf"(?!{_TITLE})\p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?"
+_LABEL = r"(?i:token|secret|password|api[_-]?key)\s*[=:]\s*[\"']?"
 KINDS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|(?:token|secret|password|api[_-]?key)\s*[=:]\s*[\"']?(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{16,})",
-    "phone": r"(?<![\w.])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|" + _LABEL + r"(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{16,})",
+    "phone": r"(?<![\w.])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
+    # national: 3-3-4 digits, five pairs, or an area code that starts with 0
+    r"|(?<![\w.+-])(?:1[ .-])?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![\w-])"
+    r"|(?<![\w.+-])0[1-9](?:[ .-][0-9]{2}){4}(?![\w-])"
+    r"|(?<![\w.+-])(?:\(0[1-9][0-9]{1,3}\) ?|0[1-9][0-9]{1,3}[ /-])[0-9]{3,4}(?:[ -]?[0-9]{2,4}){1,2}(?![\w-])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "card": r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![\w]|\.[0-9])",
-    "name": r"(?<![\p{L}])(?:" + "|".join((*FEMALE, *MALE)) + r")\.? " + _WORD + "(?: " + _WORD + "){0,2}",
+    "name": r"(?<![\p{L}])(?:" + _TITLE + " )+" + _WORD + "(?: " + _WORD + "){0,2}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+PART = r"\A\p{Lu}\p{Ll}+\z"
 # Characters of a class replace each other.
 CLASSES = (
     "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ",
@@ -46,8 +59,8 @@ HEX = ("0123456789", "abcdef")
 
 
 def kind_of(entity: Column) -> Column:
-    """The first kind whose pattern the whole entity matches."""
-    kind = F.lit(None).cast("string")
+    """The first kind whose pattern the whole entity matches, ``part`` for a word of a name."""
+    kind = F.when(entity.rlike(PART), F.lit("part"))
     for name, pattern in reversed(KINDS.items()):
         kind = F.when(entity.rlike(rf"\A(?:{pattern})\z"), F.lit(name)).otherwise(kind)
     return kind
@@ -101,7 +114,7 @@ def permuted(text: Column, key: str, kind: Column, tables: Column) -> Column:
 
         def moved(s: Column) -> Column:
             # the last letter of each part of a name carries its gender
-            ending = lambda i: (kind == "name") & F.coalesce(F.try_element_at(s["chars"], i + 2), F.lit(" ")).isin(" ", "-")
+            ending = lambda i: kind.isin("name", "part") & F.coalesce(F.try_element_at(s["chars"], i + 2), F.lit(" ")).isin(" ", "-")
             return F.transform(
                 s["chars"],
                 lambda c, i: F.when(
@@ -155,7 +168,7 @@ def _ip(entity: Column, key: str) -> Column:
 
 
 # What stays in front of and behind the permuted part, by kind.
-HEADS = {"secret": r"AKIA|(?:token|secret|password|api[_-]?key)\s*[=:]\s*[\"']?", "phone": r"\+[0-9]{1,3}", "name": r"[\p{L}-]+\.? "}
+HEADS = {"secret": "AKIA|" + _LABEL, "phone": r"\+[0-9]{1,3}|\(?0|1[ .-]", "name": f"(?:{_TITLE} )+"}
 TAILS = {"email": r"\.[A-Za-z]{2,}", "card": r"[0-9]"}
 
 
@@ -240,7 +253,7 @@ def _found(text: Column) -> Column:
     """All entities of a text in order. Every format holds a digit, one of ``@ = :``, AKIA, or a title,
     so a text without any of them is not searched further."""
     hint = text.rlike("[0-9@=:]") | F.contains(text, F.lit("AKIA"))
-    for title in (*FEMALE, *MALE):
+    for title in TITLES:
         hint = hint | F.contains(text, F.lit(title))
     return F.when(hint, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.expr("array()").cast("array<string>"))
 
@@ -250,6 +263,20 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.explode(_found(F.col(text_col))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
 
 
+def _name(entity: Column) -> Column:
+    return entity.rlike(rf"\A(?:{KINDS['name']})\z")
+
+
+def _words(entity: Column) -> Column:
+    """The parts of a name, without titles."""
+    return F.split(F.regexp_replace(entity, rf"\A(?:{_TITLE} )+", ""), "[ -]")
+
+
+def _units(entities: Column) -> Column:
+    """What has a surrogate of its own: the parts of names, other entities whole."""
+    return F.array_distinct(F.flatten(F.transform(entities, lambda e: F.when(_name(e), _words(e)).otherwise(F.array(e)))))
+
+
 def collisions(found: DataFrame, key: str) -> DataFrame:
     """(entity, surrogate) for the entities whose first surrogate is an entity itself.
 
@@ -258,7 +285,8 @@ def collisions(found: DataFrame, key: str) -> DataFrame:
     What is left after ``ATTEMPTS`` keys, or stays itself under three, gets an invented value; of
     entities that meet there one has it and the others go on.
     """
-    names = stored(found.select("entity", _of(F.col("entity"), key).alias("surrogate")), "entities")
+    units = found.select(F.explode(_units(F.array("entity"))).alias("entity")).distinct()
+    names = stored(units.select("entity", _of(F.col("entity"), key).alias("surrogate")), "entities")
     entity = names.select(F.col("entity").alias("surrogate"))
     taken = entity.unionByName(names.select("surrogate"))
     hit = names.join(entity, "surrogate", "left_semi").select("entity", "surrogate")
@@ -299,7 +327,8 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
 
     Texts are cut at the entities and put together again with surrogates in one projection. Only the
     few surrogates that are entities themselves come from a table: Spark joins it to the rows that
-    hold such an entity. A null text stays null with 0 entities.
+    hold such an entity. Between entities, words that are parts of the text's own names are replaced
+    and counted too. A null text stays null with 0 entities.
     """
     clash = stored(collisions(entities(docs, text_col), key), "collisions")
     text = F.col(text_col)
@@ -307,7 +336,7 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
     if clash.isEmpty():
         return _assembled(rows.withColumn("_clash", F.lit(None).cast("map<string,string>")), docs, key, text_col)
     hit = (
-        docs.select(text, F.explode(F.array_distinct(_found(text))).alias("entity"))
+        docs.select(text, F.explode(_units(_found(text))).alias("entity"))
         .join(clash, "entity")
         .groupBy(F.sha2(text, 256).alias("_text"))
         .agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("_clash"))  # a text's own entities
@@ -318,8 +347,24 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
 
 
 def _assembled(rows: DataFrame, docs: DataFrame, key: str, text_col: str) -> DataFrame:
-    own = F.transform("_found", lambda e: F.coalesce(F.col("_clash")[e], _of(e, key)))
-    pieces = F.zip_with("_parts", F.concat(own, F.array(F.lit(""))), lambda part, new: F.concat(part, new))
+    of = lambda e: F.coalesce(F.col("_clash")[e], _of(e, key))
+    parts = F.array_distinct(F.flatten(F.transform(F.filter("_found", _name), _words)))
+    known = rows.withColumn("_units", F.when(F.size("_found") > 0, parts)).withColumn(
+        "_map", F.map_from_arrays("_units", F.transform("_units", of))
+    )
+    # runs of letters and what stands between them, for the texts that hold a name
+    cut = lambda s: F.split(s, r"(?<=\p{L})(?!\p{L})|(?<!\p{L})(?=\p{L})")
+    own_word = lambda w: w.rlike(PART) & F.array_contains(F.col("_units"), w)
+    renamed = lambda s: F.array_join(F.transform(cut(s), lambda w: F.when(own_word(w), F.col("_map")[w]).otherwise(w)), "")
+    head = lambda e: F.regexp_extract(e, rf"\A((?:{_TITLE} )+)", 1)
+    rest = lambda e: F.regexp_replace(e, rf"\A(?:{_TITLE} )+", "")
+    own = F.transform("_found", lambda e: F.when(_name(e), F.concat(head(e), renamed(rest(e)))).otherwise(of(e)))
+    named = F.size("_units") > 0
+    between = F.when(named, F.transform("_parts", renamed)).otherwise(F.col("_parts"))
+    bare = F.when(named, F.aggregate("_parts", F.lit(0), lambda n, s: n + F.size(F.filter(cut(s), own_word)))).otherwise(0)
+    done = known.withColumn("_bare", bare)
+    pieces = F.zip_with(between, F.concat(own, F.array(F.lit(""))), lambda part, new: F.concat(part, new))
     text = F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(F.col(text_col)).alias(text_col)
     columns = [text if c == text_col else F.col(c) for c in docs.columns if c != "n_entities"]
-    return rows.select(*columns, F.coalesce(F.greatest(F.size("_found"), F.lit(0)), F.lit(0)).alias("n_entities"))
+    count = F.coalesce(F.greatest(F.size("_found"), F.lit(0)), F.lit(0)) + F.col("_bare")
+    return done.select(*columns, count.alias("n_entities"))

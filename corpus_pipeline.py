@@ -13,7 +13,7 @@ FRACTION = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go."""
+    """Documents with a letter; a null lang is filled with the predicted language where one was learned."""
     return langid.with_language(docs)
 
 

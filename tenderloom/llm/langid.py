@@ -182,7 +182,28 @@ def language_of(docs: DataFrame) -> DataFrame:
     )
 
 
+def _lettered(docs: DataFrame) -> DataFrame:
+    """The rows whose text has a letter."""
+    at = docs.columns.index("text")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([_has_letter(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return map_batches(docs, work, fields)
+
+
 def with_language(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: drop documents whose language can't be determined. Columns stay as they are."""
+    """Pipeline stage: drop documents without a letter and give the predicted language to rows whose lang is null.
+
+    Profiles come from the rows that are not held out, or from all labelled rows if those have no label.
+    Where no row has one, or a text shares no n-gram with a profile, lang stays null.
+    """
     profiles = stored(fit(docs, ~held_out()), "profiles")
-    return identify(docs, profiles).filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    if profiles.isEmpty():
+        profiles = stored(fit(docs, F.lit(True)), "profiles")
+    if profiles.isEmpty():
+        return _lettered(docs)
+    known = identify(docs, profiles).filter(F.col("lang_pred") != UNDETERMINED)
+    lang = F.coalesce("lang", F.when(F.col("score") > 0, F.col("lang_pred"))).alias("lang")
+    return known.select(*[lang if c == "lang" else F.col(c) for c in docs.columns])

@@ -58,3 +58,14 @@ def test_odd_rows(make_docs):
     assert langid.language_of(docs.limit(0)).count() == 0
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in langid.language_of(unlabelled).collect()} == {"und"}
+
+
+def test_stage_without_labels_and_with_null_ones(make_docs):
+    text = "the quick brown fox jumps over the lazy dog"
+    bare = make_docs((1, text, None, "s"), (2, "12 - 34", None, "s"), (3, None, None, "s"))
+    assert [(r["doc_id"], r["lang"]) for r in langid.with_language(bare).collect()] == [(1, None)]
+    out = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 == 1][:2]
+    german = "der schnelle braune fuchs springt über den faulen hund"
+    docs = make_docs((out[0], text, "en", "s"), (out[1], german, "de", "s"), (200, text, None, "s"), (201, german, None, "s"), (202, "Ωμέγα", None, "s"))
+    found = {r["doc_id"]: r["lang"] for r in langid.with_language(docs).collect()}
+    assert found == {out[0]: "en", out[1]: "de", 200: "en", 201: "de", 202: None}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderloom.llm import bpe, chaining, gridjoin, hyperminhash, langid, pii, raking, suffixes, topk, urls
+from tenderloom.llm import bpe, chaining, gridjoin, hyperminhash, langid, packing, pii, raking, suffixes, topk, urls
 from tenderloom.llm.common import table
 
 PII_KEY = "registered-query"
@@ -19,6 +19,13 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_bpe_path() -> str:
+    """Where the public vocabulary with word ends lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), byte_bpe_path())
 
@@ -60,10 +67,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), word_bpe_path(), end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_bpe, op2_language_id, op3_hyperminhash, op4_grid_join, op5_surrogates,
         op6_raking, op7_top_k, op8_suffix_array, op9_chaining, op10_url_filter,
+        op11_vector_packing,
     )
     return {f.__name__: f for f in own}
 

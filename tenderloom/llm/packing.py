@@ -27,7 +27,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -42,6 +43,7 @@ POOL = 1024
 SEQUENCE_BITS = 40
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 LARGEST_VOCABULARY = 64 << 20
+SIGNS = b".,;:!?"
 
 
 class Limits(NamedTuple):
@@ -52,57 +54,77 @@ class Limits(NamedTuple):
     loss_tokens: int = 4096
 
 
+class _Words(dict):
+    """Ids of words as bytes, in two generations of ``remembered`` words; a word not known is encoded when asked for."""
+
+    def __init__(self, encode: Callable[[bytes], bytes], merge: Callable[[bytes], bytes], remembered: int) -> None:
+        super().__init__()
+        self.encode, self.merge, self.remembered = encode, merge, remembered
+        self.old: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._new(word)
+        if len(self) >= self.remembered:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def _new(self, word: bytes) -> bytes:
+        """Capitals and a sign behind a word give no entry of the library of their own."""
+        if word.isascii() and b"<" not in word:
+            if word[-1] in SIGNS and word[-2:-1].isalnum():
+                return self[word[:-1]] + self[word[-1:]]
+            lower = word.lower()
+            if lower != word:
+                return self[lower]
+            if word.isalpha():
+                return self.merge(word)
+        return self.encode(word)
+
+
 class WordEncoder:
-    """Ids of the library, with a memory of words in two generations of ``remembered`` each.
+    """Ids of the library, with a bounded memory of words.
 
-    The tokeniser must drop white space and never look beyond it, which ``check`` tests on its settings.
+    The tokeniser must lower-case, drop white space and never look beyond it or across the end of a word of letters
+    and digits that one of ``SIGNS`` follows; ``check`` tests that on its settings. Special tokens in a text hold a "<".
     """
 
-    def __init__(self, vocabulary: bytes, remembered: int = 200_000) -> None:
+    def __init__(self, vocabulary: bytes, remembered: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocabulary.decode())
         self.library.no_truncation()
         self.library.no_padding()
-        self.remembered = remembered
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
         self.check()
+        self.words = _Words(self._encoded, self._merged, remembered)
+
+    def _encoded(self, text: bytes) -> bytes:
+        return array("I", self.library.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids).tobytes()
+
+    def _merged(self, word: bytes) -> bytes:
+        """A word of the letters a-z, which the library's normaliser and pre-tokeniser leave as it is."""
+        return array("I", [t.id for t in self.library.model.tokenize(word.decode())]).tobytes()
 
     def check(self) -> None:
-        probe = "it's Été 1a, b́ ́x"
-        parts = [self.library.encode(p, add_special_tokens=False).ids for p in probe.split(" ")]
+        probe = ["it's", "Été", "1a", "b\u0301", "\u0301x", "Abc", *(w + chr(s) for w in ("word", "B2") for s in SIGNS)]
+        parts = [self._encoded(p.encode()) for p in probe]
         for blank in (" ", "\n", "\t \r", "\x0b\x0c"):
-            if self.library.encode(blank.join(probe.split(" ")), add_special_tokens=False).ids != [i for p in parts for i in p]:
+            if self._encoded(blank.join(probe).encode()) != b"".join(parts):
                 raise ValueError("this tokeniser looks beyond blanks; words cannot be encoded one by one")
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.young) + len(words) > self.remembered:
-            self.old, self.young = self.young, {}
-        found = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.young.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, found))
+        for word, ids in zip(probe, parts):
+            plain = word.lower().encode()
+            cut = self._encoded(plain[:-1]) + self._encoded(plain[-1:]) if plain[-1] in SIGNS else self._encoded(plain)
+            if word.isascii() and cut != ids or plain.isalpha() and self._merged(plain) != ids:
+                raise ValueError("this tokeniser tells cases or signs behind words apart; words cannot be shared")
 
     def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """The ids of every text as unsigned 32-bit numbers."""
-        out = []
-        for text in texts:
-            pieces = []
-            for slice_ in _slices(text or b""):
-                part, new = slice_.split(), []
-                for word in {*part}.difference(self.young):
-                    known = self.old.get(word)
-                    if known is None:
-                        new.append(word)
-                    else:
-                        self.young[word] = known
-                if new:
-                    self._learn(new)
-                    if not self.young.keys() >= {*part}:  # a new generation began, some words are in the old one
-                        self.young.update((w, self.old[w]) for w in part if w not in self.young)
-                pieces.append(b"".join(map(self.young.__getitem__, part)))
-            out.append(np.frombuffer(b"".join(pieces), "<u4"))
-        return out
+        get = self.words.__getitem__
+        return [np.frombuffer(b"".join(b"".join(map(get, part.split())) for part in _slices(text or b"")), "<u4") for text in texts]
 
 
 _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")

@@ -15,6 +15,7 @@ from tenderloom.llm.queries import op11_vector_packing, word_bpe_path  # noqa: E
 ODD = [
     "", " ", "It's  we'll 'S don't", "x<|endoftext|> <|startoftext|>y <|endoftext|>", "Été ΩΣΑΣ é ́b İstanbul", "日本語テキスト ☃️ 👩‍👩‍👧 ١٢٣ ½²",
     "a\x1cb\x85c\xa0d　e", "tab\tnew\nline\x0bform\x0cend\r\n", "..." * 700, "ab" * 4000,
+    "Word. word, WORD; x.. y., z.a 'S, b's. <|STARTOFTEXT|> <|endoftext|>. J\u030c T\u0308. A\u030a, 1. 2!? ab?",
 ]
 
 
@@ -43,7 +44,7 @@ def test_words_give_the_ids_of_whole_texts(library, remembered):
 def test_a_tokeniser_that_keeps_blanks_is_refused():
     import public_tokenizers
 
-    with pytest.raises(ValueError, match="beyond blanks"):
+    with pytest.raises(ValueError, match="cannot be"):
         packing.WordEncoder(packing.vocabulary_bytes(public_tokenizers.path("byte_bpe_50k.json")))
 
 
@@ -135,5 +136,7 @@ def test_operator_on_odd_rows(spark, make_docs, library):
     docs = docs.withColumn("start", docs["doc_id"]).withColumn("length", docs["doc_id"]).withColumn("prompt", docs["text"])
     checked(packing.packed(docs, word_bpe_path(), 2), {1: None, 2: "", 3: long, **{10 + i: t for i, t in enumerate(ODD)}}, library)
     twice = make_docs((None, "x y", None, None), (None, "x y", None, None), (5, "same", "en", "s"), (5, "same", "en", "s"))
-    assert sorted((r["doc_id"] or 0, r["length"]) for r in packing.packed(twice, word_bpe_path(), 2).collect()) == [(0, 3), (0, 3), (5, 2), (5, 2)]
+    rows = packing.packed(twice, word_bpe_path(), 2).collect()
+    assert [sum(r["length"] for r in rows if r["doc_id"] == k) for k in (None, 5)] == [6, 4]
+    assert {(r["doc_id"], r["doc_tokens"]) for r in rows} == {(None, 3), (5, 2)}
     assert packing.packed(docs.limit(0), word_bpe_path(), 2).count() == 0

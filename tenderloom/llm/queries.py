@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderloom.llm import bpe, chaining, gridjoin, hyperminhash, langid, packing, pii, raking, suffixes, topk, urls, variants
+from tenderloom.llm import bpe, chaining, gridjoin, hyperminhash, langid, lexical, packing, pii, raking, suffixes, topk, urls, variants
 from tenderloom.llm.common import table
 
 PII_KEY = "registered-query"
@@ -75,11 +75,15 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_k2_treap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_bpe, op2_language_id, op3_hyperminhash, op4_grid_join, op5_surrogates,
         op6_raking, op7_top_k, op8_suffix_array, op9_chaining, op10_url_filter,
-        op11_vector_packing, op12_spelling_variants,
+        op11_vector_packing, op12_spelling_variants, op13_k2_treap,
     )
     return {f.__name__: f for f in own}
 
@@ -183,5 +187,29 @@ FROM judged j JOIN ways w ON w.word = j.word JOIN judged e ON e.word = w.at WHER
 """
 
 
+OP13_SQL = """
+WITH found AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+  FROM documents),
+sizes AS (SELECT r, doc_id, len(terms)::BIGINT AS n, terms FROM found WHERE len(terms) > 0),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM sizes),
+counted AS (SELECT r, doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, n, unnest(terms) AS t FROM sizes) GROUP BY ALL),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t
+  FROM benchmark),
+weights AS (
+  SELECT t, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT t, count(*)::BIGINT AS df FROM counted GROUP BY 1), whole),
+scored AS (
+  SELECT a.item_id, c.r, c.doc_id, sum(w.w * ((1000000000 * c.tf) // (1000 * c.tf + 20 * (100 - 50 + (50 * c.n * docs) // total))))::BIGINT AS score
+  FROM asked a JOIN weights w USING (t) JOIN counted c USING (t), whole GROUP BY 1, 2, 3),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, k::INTEGER AS rank, doc_id, score FROM ranked WHERE k <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_hyperminhash": OP3_SQL, "op4_grid_join": OP4_SQL, "op7_top_k": OP7_SQL, "op12_spelling_variants": OP12_SQL}
+    return {"op3_hyperminhash": OP3_SQL, "op4_grid_join": OP4_SQL, "op7_top_k": OP7_SQL, "op12_spelling_variants": OP12_SQL, "op13_k2_treap": OP13_SQL}

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from tenderloom.llm import chaining, hyperminhash, suffixes
 from tenderloom.llm.common import minimisers, word_hashes
@@ -70,6 +71,39 @@ def test_near_duplicates_equal_brute_force(make_docs):
     assert hyperminhash.near_duplicates(make_docs(*rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, 15])
+def test_clusters_of_many_blocks_lose_no_link(make_docs, monkeypatch, block):
+    monkeypatch.setattr(hyperminhash, "BLOCK", block)
+    random.seed(block)
+    vocabulary = [f"w{i}" for i in range(500)]
+    base = [random.choice(vocabulary) for _ in range(150)]
+    rows, text = [], list(base)
+    for i in range(70):  # a chain: neighbours are linked, ends are far apart
+        text[random.randrange(150)] = random.choice(vocabulary)
+        if i % 2:
+            text[random.randrange(150)] = random.choice(vocabulary)
+        rows.append((1000 - i if i % 3 else i, " ".join(text), "en", "s"))
+    for i in range(60):  # around one text, most of them near the threshold
+        own = list(base)
+        for _ in range(random.choice([1, 5, 7, 8, 9])):
+            own[random.randrange(150)] = random.choice(vocabulary)
+        rows.append((2000 + i, " ".join(own), "en", "s"))
+    sets = {i: _shingles(t, 3) for i, t, _, _ in rows}
+    ids = sorted(sets)
+    links = [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    expected = _components(ids, links)
+    assert len(set(expected.values())) > 5
+    found = {r["doc_id"]: r["component_id"] for r in hyperminhash.near_duplicates(make_docs(*rows), shingle=3, threshold=0.85).collect()}
+    assert found == expected
+
+
+def test_expected_collisions_depend_on_both_sizes():
+    rng = np.random.default_rng(11)
+    for n, m in ((300, 300), (5000, 5000), (300, 20000), (100000, 100000)):
+        a, b = (np.stack([hyperminhash.sketch(rng.integers(0, 2**63, size).astype(np.uint64)) for _ in range(60)]) for size in (n, m))
+        assert abs((a == b).mean() - hyperminhash.expected_collisions(np.array([n]), np.array([m]))[0, 0]) < 0.006
+
+
 def test_hyperminhash_estimates_follow_jaccard():
     rng = np.random.default_rng(4)
     for similarity in (0.3, 0.6, 0.85, 1.0):
@@ -79,7 +113,7 @@ def test_hyperminhash_estimates_follow_jaccard():
             both = int(round(2000 * 2 * similarity / (1 + similarity)))
             a, b = pool[:2000], np.concatenate([pool[:both], pool[2000 : 4000 - both]])
             true = both / (4000 - both)
-            errors.append(hyperminhash.estimate(hyperminhash.sketch(a)[None], hyperminhash.sketch(b)[None])[0, 0] - true)
+            errors.append(hyperminhash.estimate(hyperminhash.sketch(a)[None], hyperminhash.sketch(b)[None], np.array([len(a)]), np.array([len(b)]))[0, 0] - true)
         assert abs(np.mean(errors)) < 0.03
     one = hyperminhash.sketch(np.array([5], np.uint64))
     assert len(set(one.tolist())) == 1  # a single element fills every register

@@ -5,7 +5,7 @@ keyed permutation that keeps its format: digits stay digits, vowels stay vowels
 consonants stay consonants of the same case and script, separators, titles and the ending of a name (which
 carries its gender) stay. Each part of a name has its own surrogate, with or without a title, so the
 same surname is the same everywhere; parts found behind a title are replaced wherever the same text
-holds them as whole words in the same spelling. Card numbers keep a valid check digit and addresses stay in range.
+holds them as whole words in the same spelling. The key comes from the caller. Card numbers keep a valid check digit and addresses stay in range.
 
 A permutation never maps two entities of a format to one surrogate, and the same entity has
 the same surrogate in all documents. What it can do is hit another entity of the corpus.
@@ -17,14 +17,19 @@ kind that is longer; invented values grow until one is free, so every entity get
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import secrets
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tenderloom.llm.common import stored
 
 ROUNDS = 4
 ATTEMPTS = 32
 
-# The formats that are detected, in order of precedence, and titles with their gender.
+# The formats that are detected, in order of precedence, and titles.
+# No pattern repeats a group without a bound (a matcher recurses per repetition), and a run of characters
+# that a pattern starts with is entered at its first one only, so time is linear in the text.
 FEMALE = (
     "Mrs", "Ms", "Miss", "Frau", "Fräulein", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra", "Señorita", "Srta", "Госпожа", "г-жа",
 )
@@ -33,10 +38,10 @@ NEUTRAL = ("Dr", "Dra", "Prof", "Professor", "Professorin", "Doctor", "Doktor",
 TITLES = (*FEMALE, *MALE, *NEUTRAL)
 _TITLE = "(?:" + "|".join(TITLES) + r")(?![\p{L}])\.?"
 _WORD = rf"(?!{_TITLE})\p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?"
-_LABEL = r"(?i:token|secret|password|api[_-]?key)\s*[=:]\s*[\"']?"
+_LABEL = r"(?i:token|secret|password|api[_-]?key)\s*+[=:]\s*+[\"']?"
 KINDS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|" + _LABEL + r"(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{16,})",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}+\.){1,9}[A-Za-z]{2,}",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|" + _LABEL + r"(?=[+/_-]*+[A-Za-z0-9])[A-Za-z0-9+/_-]{16,})",
     "phone": r"(?<![\w.])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
     # national: 3-3-4 digits, five pairs, or an area code that starts with 0
     r"|(?<![\w.+-])(?:1[ .-])?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![\w-])"
@@ -45,7 +50,7 @@ KINDS = {
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "card": r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![\w]|\.[0-9])",
-    "name": r"(?<![\p{L}])(?:" + _TITLE + " )+" + _WORD + "(?: " + _WORD + "){0,2}",
+    "name": r"(?<![\p{L}])(?:" + _TITLE + " ){1,4}+" + _WORD + "(?: " + _WORD + "){0,2}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 PART = r"\A\p{Lu}\p{Ll}+\z"
@@ -58,6 +63,19 @@ CLASSES = (
 HEX = ("0123456789", "abcdef")
 
 
+KEY_SETTING = "spark.tenderloom.pii.key"
+
+
+@lru_cache(maxsize=None)
+def _drawn_key(application: str) -> str:
+    return secrets.token_hex(32)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key the cluster sets in ``spark.tenderloom.pii.key``; without one, a random key of this application."""
+    return spark.conf.get(KEY_SETTING, None) or _drawn_key(spark.sparkContext.applicationId)
+
+
 def kind_of(entity: Column) -> Column:
     """The first kind whose pattern the whole entity matches, ``part`` for a word of a name."""
     kind = F.when(entity.rlike(PART), F.lit("part"))
@@ -66,12 +84,6 @@ def kind_of(entity: Column) -> Column:
     return kind
 
 
-def gender_of(entity: Column) -> Column:
-    """f or m after the title of a name, else null."""
-    title = F.regexp_extract(entity, r"\A([\p{L}-]+)", 1)
-    return F.when(title.isin(*FEMALE), "f").when(title.isin(*MALE), "m")
-
-
 def _tables(classes: tuple[str, ...]) -> tuple[str, str, str]:
     """The classes end to end, and per character where its class starts and how long it is (three digits each)."""
     alphabet = "".join(classes)
@@ -328,43 +340,44 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
     Texts are cut at the entities and put together again with surrogates in one projection. Only the
     few surrogates that are entities themselves come from a table: Spark joins it to the rows that
     hold such an entity. Between entities, words that are parts of the text's own names are replaced
-    and counted too. A null text stays null with 0 entities.
+    and counted too. A null text stays null with 0 entities. A row is carried as one value, so its columns may have any
+    names; a column ``n_entities`` of an earlier run is replaced.
     """
     clash = stored(collisions(entities(docs, text_col), key), "collisions")
-    text = F.col(text_col)
-    rows = docs.withColumn("_found", _found(text)).withColumn("_parts", F.when(F.size("_found") > 0, F.split(text, PATTERN, -1)))
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    cut = rows.withColumn("found", _found(F.col("text"))).withColumn("parts", F.when(F.size("found") > 0, F.split("text", PATTERN, -1)))
     if clash.isEmpty():
-        return _assembled(rows.withColumn("_clash", F.lit(None).cast("map<string,string>")), docs, key, text_col)
+        return _assembled(cut.withColumn("clash", F.lit(None).cast("map<string,string>")), docs, key, text_col)
     hit = (
-        docs.select(text, F.explode(_units(_found(text))).alias("entity"))
+        rows.select("text", F.explode(_units(_found(F.col("text")))).alias("entity"))
         .join(clash, "entity")
-        .groupBy(F.sha2(text, 256).alias("_text"))
-        .agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("_clash"))  # a text's own entities
+        .groupBy(F.sha2("text", 256).alias("digest"))
+        .agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("clash"))  # a text's own entities
     )
     held = stored(hit, "clashes")
-    joined = rows.withColumn("_text", F.sha2(text, 256)).join(held, "_text", "left").drop("_text")
+    joined = cut.withColumn("digest", F.sha2("text", 256)).join(held, "digest", "left")
     return _assembled(joined, docs, key, text_col)
 
 
 def _assembled(rows: DataFrame, docs: DataFrame, key: str, text_col: str) -> DataFrame:
-    of = lambda e: F.coalesce(F.col("_clash")[e], _of(e, key))
-    parts = F.array_distinct(F.flatten(F.transform(F.filter("_found", _name), _words)))
-    known = rows.withColumn("_units", F.when(F.size("_found") > 0, parts)).withColumn(
-        "_map", F.map_from_arrays("_units", F.transform("_units", of))
+    of = lambda e: F.coalesce(F.col("clash")[e], _of(e, key))
+    words = F.array_distinct(F.flatten(F.transform(F.filter("found", _name), _words)))
+    known = rows.withColumn("units", F.when(F.size("found") > 0, words)).withColumn(
+        "renamed", F.map_from_arrays("units", F.transform("units", of))
     )
     # runs of letters and what stands between them, for the texts that hold a name
     cut = lambda s: F.split(s, r"(?<=\p{L})(?!\p{L})|(?<!\p{L})(?=\p{L})")
-    own_word = lambda w: w.rlike(PART) & F.array_contains(F.col("_units"), w)
-    renamed = lambda s: F.array_join(F.transform(cut(s), lambda w: F.when(own_word(w), F.col("_map")[w]).otherwise(w)), "")
+    own_word = lambda w: w.rlike(PART) & F.array_contains(F.col("units"), w)
+    renamed = lambda s: F.array_join(F.transform(cut(s), lambda w: F.when(own_word(w), F.col("renamed")[w]).otherwise(w)), "")
     head = lambda e: F.regexp_extract(e, rf"\A((?:{_TITLE} )+)", 1)
     rest = lambda e: F.regexp_replace(e, rf"\A(?:{_TITLE} )+", "")
-    own = F.transform("_found", lambda e: F.when(_name(e), F.concat(head(e), renamed(rest(e)))).otherwise(of(e)))
-    named = F.size("_units") > 0
-    between = F.when(named, F.transform("_parts", renamed)).otherwise(F.col("_parts"))
-    bare = F.when(named, F.aggregate("_parts", F.lit(0), lambda n, s: n + F.size(F.filter(cut(s), own_word)))).otherwise(0)
-    done = known.withColumn("_bare", bare)
+    own = F.transform("found", lambda e: F.when(_name(e), F.concat(head(e), renamed(rest(e)))).otherwise(of(e)))
+    named = F.size("units") > 0
+    between = F.when(named, F.transform("parts", renamed)).otherwise(F.col("parts"))
+    bare = F.when(named, F.aggregate("parts", F.lit(0), lambda n, s: n + F.size(F.filter(cut(s), own_word)))).otherwise(0)
+    done = known.withColumn("bare", bare)
     pieces = F.zip_with(between, F.concat(own, F.array(F.lit(""))), lambda part, new: F.concat(part, new))
-    text = F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(F.col(text_col)).alias(text_col)
-    columns = [text if c == text_col else F.col(c) for c in docs.columns if c != "n_entities"]
-    count = F.coalesce(F.greatest(F.size("_found"), F.lit(0)), F.lit(0)) + F.col("_bare")
+    text = F.when(F.size("found") > 0, F.array_join(pieces, "")).otherwise(F.col("text")).alias(text_col)
+    columns = [text if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c != "n_entities"]
+    count = F.coalesce(F.greatest(F.size("found"), F.lit(0)), F.lit(0)) + F.col("bare")
     return done.select(*columns, count.alias("n_entities"))

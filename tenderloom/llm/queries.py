@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tenderloom.llm import bpe, chaining, gridjoin, hyperminhash, langid, lexical, packing, pii, raking, suffixes, topk, urls, variants
 from tenderloom.llm.common import table
 
-PII_KEY = "registered-query"
-
 
 def byte_bpe_path() -> str:
     """Where the public byte-level vocabulary lies on this machine."""
@@ -44,7 +42,7 @@ def op4_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymised(docs, PII_KEY)
+    return pii.pseudonymised(docs, pii.session_key(spark))
 
 
 def op6_raking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,6 +150,61 @@ def test_names_keep_coreference_and_other_formats_are_found(make_docs):
     assert new[4] == texts[4] and [r["n_entities"] for r in out] == [6, 1, 3, 4, 0]
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["x@" + "ab." * 330_000 + "1", "%20" * 330_000, "Mr " * 330_000, "1 " * 500_000, "token" + " " * 1_000_000, "a." * 500_000 + "@" * 9, "+1 " * 330_000, "AKIA" * 250_000,
+     "Anna-" * 200_000, "Mr " + "Anna-Maria " * 90_000, "password=" * 110_000, "1.1." * 250_000, "0123-" * 200_000],
+)
+def test_long_adversarial_texts_end(make_docs, text):
+    import time
+
+    start = time.monotonic()
+    rows = pii.pseudonymised(make_docs((1, text, "en", "s"), (2, "mail joe@x.org now", "en", "s")), "key").collect()
+    assert time.monotonic() - start < 60
+    assert len(rows) == 2 and next(r for r in rows if r["doc_id"] == 2)["text"] != "mail joe@x.org now"
+
+
+def test_columns_of_any_name_stay_as_they_are(make_docs):
+    inner = ["row", "found", "parts", "clash", "units", "renamed", "bare", "digest", "_parts", "_found", "entity"]
+    docs = make_docs((1, "Mr John Smith, a.b@c.org", "en", "s"), (2, None, "en", "s"), (3, "plain", "en", "s"))
+    docs = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in inner], F.lit("old").alias("n_entities"))
+    out = pii.pseudonymised(docs, "key")
+    assert out.columns == [c for c in docs.columns if c != "n_entities"] + ["n_entities"]
+    for r in out.collect():
+        assert all(r[c] == f"{c}{r['doc_id']}" for c in inner) and r["n_entities"] == (2 if r["doc_id"] == 1 else 0)
+    assert "Smith" not in out.filter("doc_id = 1").first()["text"]
+
+
+def test_addresses_next_to_signs_and_chains_of_titles(make_docs):
+    texts = ["q=%20joe@x.org", "..joe@x.org", "to joe@mail.a.b.c.d.example.org, x@y", "Dr Dr Dr Dr Dr Dr Dr Smith", "a@b.co@c.de"]
+    new = [r["text"] for r in pii.pseudonymised(make_docs(*[(i, t, "en", "s") for i, t in enumerate(texts)]), "key").orderBy("doc_id").collect()]
+    assert not any("joe" in t for t in new) and "Smith" not in new[3] and "x@y" in new[2] and new[4] != texts[4]
+
+
+def test_keys_come_from_the_session(spark):
+    drawn = pii.session_key(spark)
+    assert len(drawn) == 64 and pii.session_key(spark) == drawn
+    spark.conf.set(pii.KEY_SETTING, "own")
+    assert pii.session_key(spark) == "own"
+    spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_top_k_of_large_weights_and_odd_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-(2**21), 2**21, 6) * 1.0]) for i in range(30)] + [(100, [2.0**20] * 6), (150, []), (200, [0.5]), (None, [1.0]), (250, None)]
+    frame = spark.createDataFrame([(i, v, 1, 2.0) for i, v in rows], "vec_id long, embedding array<double>, rank int, score double")
+    weights = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i is not None and v is not None}
+    out = topk.top_k(frame, F.col("vec_id") % 10 == 0, k=4).collect()
+    expected = set()
+    for q in (i for i in weights if i % 10 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(weights[q], weights[c])), c) for c in weights if c != q)
+        expected |= {(q, r, c, -s) for r, (s, c) in enumerate(scores[:4], 1)}
+    assert max(abs(s) for *_, s in expected) > 2**52 and {tuple(r) for r in out} == expected
+    extreme = spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="may exceed 64 bits"):
+        topk.top_k(extreme, F.col("vec_id") == 0).collect()
+
+
 def test_raking_meets_marginals_and_matches_plain_loop(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = raking.mix(docs).toPandas()

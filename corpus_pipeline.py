@@ -8,7 +8,6 @@ from tenderloom.llm import bpe, hyperminhash, langid, pii, raking
 from tenderloom.llm.common import stored, table
 from tenderloom.llm.queries import byte_bpe_path
 
-PII_KEY = "corpus-pipeline"
 FRACTION = 0.5
 
 
@@ -28,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets replaced by surrogates; n_chars follows the new text."""
-    done = pii.pseudonymised(docs, PII_KEY)
+    done = pii.pseudonymised(docs, pii.session_key(spark))
     length = F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", length).select(*docs.columns)
 

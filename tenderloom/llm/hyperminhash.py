@@ -209,17 +209,13 @@ def _paired(rows: DataFrame) -> DataFrame:
     )
 
 
-def _with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    return texts.join(rows, "doc_id")
-
-
 def _forest(frame: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame | None:
-    """Edges that join what is linked in a block, or between two blocks, and not joined yet."""
+    """(a, b): a the smallest of the components that links in a block, or between two blocks, join; b another one."""
     if len(frame) < 2:
         return None
-    ids, side = frame["doc_id"].to_numpy(), frame["first"].to_numpy()
+    side = frame["first"].to_numpy()
     one = bool(side.all())
-    left, right = np.flatnonzero(side), np.arange(len(ids)) if one else np.flatnonzero(~side)
+    left, right = np.flatnonzero(side), np.arange(len(frame)) if one else np.flatnonzero(~side)
     if not len(left) or not len(right):
         return None
     sets = [shingle_set(t.encode(), shingle) for t in frame["text"]]
@@ -230,7 +226,7 @@ def _forest(frame: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame | N
         return None
     sketches = np.stack([sketch(x) if len(x) else np.zeros(BUCKETS, np.uint8) for x in sets])
     score, passed = passing(sketches[left], sketches[right], sizes[left], sizes[right], percent)
-    _, comp = np.unique(frame["comp"].to_numpy(), return_inverse=True)
+    names, comp = np.unique(frame["comp"].to_numpy(), return_inverse=True)
     passed &= comp[left][:, None] != comp[right][None, :]
     if one:
         passed &= left[:, None] < right[None, :]
@@ -244,7 +240,6 @@ def _forest(frame: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame | N
             x = root[x]
         return x
 
-    edges = []
     for x, y in zip(left[at[order]], right[to[order]]):
         p, q = find(comp[x]), find(comp[y])
         if p == q:
@@ -252,8 +247,9 @@ def _forest(frame: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame | N
         both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
         if 100 * both >= percent * (sizes[x] + sizes[y] - both):
             root[max(p, q)] = min(p, q)
-            edges.append((ids[x], ids[y]))
-    return pd.DataFrame(edges, columns=["a", "b"]) if edges else None
+    head = names[[find(i) for i in range(len(root))]]
+    moved = head != names
+    return pd.DataFrame({"a": head[moved], "b": names[moved]}) if moved.any() else None
 
 
 def _candidates(frame: pd.DataFrame, percent: int) -> pd.DataFrame | None:
@@ -273,11 +269,11 @@ def _candidates(frame: pd.DataFrame, percent: int) -> pd.DataFrame | None:
 MEMBER = "doc_id long, cluster long, comp long, size long"
 
 
-def confirmed(texts: DataFrame, heads: DataFrame, grouped: DataFrame, shingle: int, threshold: float) -> DataFrame:
+def confirmed(docs: DataFrame, heads: DataFrame, grouped: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """Edges (a, b) that keep the components of all links inside the clusters.
 
-    1. A cluster is cut into blocks of bounded rows and bytes, and every text goes to its block once, which gives a
-       forest of links. That settles clusters of one block.
+    1. A cluster is cut into blocks of bounded rows and bytes, and every text goes to its block once, which gives the
+       components of the block. That settles clusters of one block.
     2. In larger ones, the components' smallest documents stand for them and are dealt to new blocks, as long
        as that joins components. A cluster of near copies needs about one comparison per document for both.
     3. Where components are left apart, registers of 256 bytes are moved between blocks, and only documents whose
@@ -287,42 +283,47 @@ def confirmed(texts: DataFrame, heads: DataFrame, grouped: DataFrame, shingle: i
     sizes = heads.groupBy("doc_id").agg(F.max("n_shingles").alias("size"))
     members = grouped.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"), F.col("id").alias("comp")).join(sizes, "doc_id")
     members = stored(members.select(*[f.split()[0] for f in MEMBER.split(", ")]), "members")
+    # the only time texts are shuffled by id; a sort-merge join at every size
+    texts = stored(docs.join(members.select("doc_id").hint("merge"), "doc_id", "left_semi"), "texts")
 
     def forest(frame: pd.DataFrame) -> pd.DataFrame | None:
         return _forest(frame, shingle, percent)
 
-    def joined(rows: DataFrame, turn: int) -> DataFrame:
-        own = rows.withColumn("first", F.lit(True))
-        return stored(map_groups(_with_texts(own, texts), ["cluster", "block"], forest, "a long, b long", order=["doc_id"]), "edges")
+    def joined(rows: DataFrame, keys: list[str]) -> DataFrame:
+        met = texts.join(stored(rows, "dealt"), "doc_id")
+        return stored(map_groups(met, keys, forest, "a long, b long", order=["doc_id"]), "edges")
+
+    def relabelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
+        moved = edges.select(F.col("b").alias("comp"), F.col("a").alias("_to"))
+        return stored(rows.join(moved, "comp", "left").select("doc_id", "cluster", F.coalesce("_to", "comp").alias("comp"), "size"), "left")
+
+    def apart(rows: DataFrame) -> DataFrame:
+        many = rows.groupBy("cluster").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low < _high")
+        return rows.join(many.select("cluster"), "cluster", "left_semi")
 
     dealt = stored(_dealt(members, 0), "dealt")
-    edges = joined(dealt, 0)
-    large = dealt.filter("blocks > 1").drop("blocks", "block")
-    if large.isEmpty():
+    edges = joined(dealt.withColumn("first", F.lit(True)), ["cluster", "block"])
+    left = dealt.filter("blocks > 1").drop("blocks", "block")
+    if left.isEmpty():
         return edges
-    turn, before, left = 0, None, large
+    left, turn, before = apart(relabelled(left, edges)), 0, None
     while True:
-        found = components(edges).select(F.col("id").alias("doc_id"), F.col("component").alias("_c"))
-        left = stored(large.drop("comp").join(found, "doc_id", "left").select("doc_id", "cluster", F.coalesce("_c", "doc_id").alias("comp"), "size"), "left")
-        apart = left.groupBy("cluster").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low < _high").select("cluster")
-        left = left.join(apart, "cluster", "left_semi")
         heads_left = left.filter("doc_id = comp")
         count = heads_left.count()
         if count == 0:
             return edges
-        if before is not None and count >= before:
+        if before is not None and 2 * count > before:
             break
         turn, before = turn + 1, count
-        edges = edges.unionByName(joined(_dealt(heads_left, turn), turn))
-    registers = heads.select("doc_id", "registers", "n_shingles")
-    rows = _paired(left).join(registers, "doc_id")
+        new = joined(_dealt(heads_left, turn).withColumn("first", F.lit(True)), ["cluster", "block"])
+        edges, left = edges.unionByName(new), apart(relabelled(left, new))
+    rows = stored(_paired(left), "paired").join(heads.select("doc_id", "registers", "n_shingles"), "doc_id")
 
     def candidates(frame: pd.DataFrame) -> pd.DataFrame | None:
         return _candidates(frame, percent)
 
     near = stored(map_groups(rows, ["cluster", "i", "j"], candidates, MEMBER).distinct(), "near")
-    last = map_groups(_with_texts(_paired(near), texts), ["cluster", "i", "j"], forest, "a long, b long", order=["doc_id"])
-    return edges.unionByName(last)
+    return edges.unionByName(joined(_paired(near), ["cluster", "i", "j"]))
 
 
 def near_duplicates(

@@ -27,7 +27,6 @@ ones once. Texts are read in slices at term ends, so a long one costs memory for
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,9 +35,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tenderloom.llm.common import hashed_spans, ship, stored, texts_as_bytes
+from tenderloom.llm.common import hashed_spans, map_batches, ship, stored, texts_as_bytes
 
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 POSTINGS = 1 << 19
 BLOCK_TERMS = 1 << 16
 LARGEST_BLOCK = 64 << 20
@@ -131,6 +129,10 @@ class Shard:
         # level by level: the children of a node follow those of all nodes before it
         ones = _ONES[self.mask]
         self.child = 1 + np.cumsum(ones) - ones
+        self.below = np.zeros(len(node), np.int64)  # the largest impact under a node, without its own point
+        inner = np.flatnonzero(self.mask)
+        if len(inner):
+            self.below[inner] = np.maximum.reduceat(self.impact, self.child[inner])
         self.width = max(0, int(len(self.ids) - 1).bit_length())
 
     def rows_of(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,65 +143,66 @@ class Shard:
 
     def best(self, rows: np.ndarray, weights: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Columns and scores of documents that may be among the ``k`` best and reach ``least``; their scores are complete."""
-        size = 1 << self.width
+        size, height = 1 << self.width, self.height
         got = np.zeros(2 * size, np.int64)  # a heap over document ranges: the most one document of the range has got
+        tail = got[size : size + len(self.ids)]
 
         def meet(nodes: np.ndarray, term: np.ndarray) -> None:
             """Take up the points of the nodes that lie in their term's row."""
-            own = self.row[nodes] == rows[term]
-            if own.any():
-                at = size + self.column[nodes[own]]
-                np.add.at(got, at, weights[term[own]] * self.impact[nodes[own]])
-                at = np.unique(at)
-                while at[0] > 1:
-                    up = at >> 1
-                    got[up] = np.maximum(got[2 * up], got[2 * up + 1])
-                    at = np.unique(up)
-
-        least, terms = max(least, 1), np.arange(len(rows))
-        start = np.zeros(len(rows), np.int64)
-        meet(start, terms)
+            own = np.flatnonzero(self.row[nodes] == rows[term])
+            np.add.at(got, size + self.column[nodes[own]], weights[term[own]] * self.impact[nodes[own]])
+
+        def raised() -> None:
+            low = size
+            while low > 1:
+                np.maximum(got[low : 2 * low : 2], got[low + 1 : 2 * low : 2], out=got[low // 2 : low])
+                low //= 2
+
+        start = np.zeros((1, len(rows)), np.int64)
+        meet(start[0], np.arange(len(rows)))
+        raised()
         if not self.mask[0]:
             start -= 1
-        bound = int((weights * self.impact[0]).sum() + got[1])
-        # a range is its place in the heap of ranges, the level of its nodes, and its terms' nodes
-        queue = [(-bound, 1, 0, start)]
-        while queue:
-            tail = got[size : size + len(self.ids)]
+        least = max(least, 1)
+        # a range: its bound, its place in the heap of ranges, the level of its nodes, and its terms' nodes
+        bounds = got[1:2] + np.where(start >= 0, self.below[start], 0) @ weights
+        places, levels, nodes = np.ones(1, np.int64), np.zeros(1, np.int64), start
+        while True:
             if len(tail) >= k:
                 least = max(least, int(np.partition(tail, len(tail) - k)[len(tail) - k]))
-            taken = []
-            while queue and len(taken) < BATCH and -queue[0][0] >= least:
-                taken.append(heapq.heappop(queue))
-            if not taken:
+            left = np.flatnonzero(bounds >= least)
+            if not len(left):
                 break
-            ranges = np.array([t[1] for t in taken])
-            level = np.array([t[2] for t in taken])
-            nodes = np.array([t[3] for t in taken])
-            shift = self.height - level - 1
+            if len(left) > BATCH:
+                left = left[np.argpartition(-bounds[left], BATCH)]
+            taken, kept = left[:BATCH], left[BATCH:]
+            place, level, node = places[taken], levels[taken], nodes[taken]
+            shift = height - level - 1
             row_bit = rows[None, :] >> shift[:, None] & 1
             splits = shift < self.width  # above that, all documents lie in the left half
-            base, mask = self.child[nodes], np.where(nodes >= 0, self.mask[nodes], 0)
+            mask, first = np.where(node >= 0, self.mask[node], 0), self.child[node]
             halves = []
             for side in (0, 1):
                 quadrant = 2 * row_bit + side
                 there = mask >> quadrant & 1 == 1
                 if side:
                     there &= splits[:, None]
-                child = np.where(there, base + _ONES[mask & (1 << quadrant) - 1], -1)
+                child = np.where(there, first + _ONES[mask & (1 << quadrant) - 1], -1)
                 x, y = np.nonzero(there)
-                meet(child[x, y], y) if len(x) else None
-                child[(child >= 0) & (self.mask[child] == 0)] = -1  # met, and nothing below
+                meet(child[x, y], y)
+                child[self.mask[child] * there == 0] = -1  # met, and nothing below
                 halves.append(child)
-            for side, child in enumerate(halves):
-                place = np.where(splits, 2 * ranges + side, ranges)
-                rest = np.where(child >= 0, self.impact[child], 0) @ weights
-                bounds = rest + got[place]
-                for i in np.flatnonzero((rest > 0) & (bounds >= least)):
-                    heapq.heappush(queue, (-int(bounds[i]), int(place[i]), int(level[i]) + 1, child[i]))
-        scores = got[size : size + len(self.ids)]
-        found = np.flatnonzero(scores >= least)
-        return found, scores[found]
+            raised()
+            node = np.concatenate(halves)
+            place = np.concatenate([np.where(splits, 2 * place, place), 2 * place + 1])
+            rest = np.where(node >= 0, self.below[node], 0) @ weights
+            more = np.flatnonzero(rest)
+            bounds = np.concatenate([bounds[kept], rest[more] + got[place[more]]])
+            places = np.concatenate([places[kept], place[more]])
+            levels = np.concatenate([levels[kept], np.tile(level + 1, 2)[more]])
+            nodes = np.concatenate([nodes[kept], node[more]])
+        found = np.flatnonzero(tail >= least)
+        return found, tail[found]
 
 
 def _selected(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,10 +218,21 @@ class Totals(NamedTuple):
     terms: int
 
 
+def term_count(data: bytes) -> int:
+    raw = np.frombuffer(data, np.uint8)
+    inside = _TERM_BYTE[raw]
+    return int(np.count_nonzero(inside[1:] & ~inside[:-1]) + (len(inside) > 0 and inside[0]))
+
+
 def totals(docs: DataFrame, text_col: str = "text") -> Totals:
     """How many texts have a term, and their terms with repeats."""
-    n = F.regexp_count(F.col(text_col), F.lit(TERM))
-    row = docs.agg(F.count_if(n > 0).alias("documents"), F.coalesce(F.sum(n), F.lit(0)).alias("terms")).first()
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = np.array([term_count(t or b"") for t in texts_as_bytes(batch.column(0))])
+        return pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], ["documents", "terms"])
+
+    counted = map_batches(docs.select(F.col(text_col).alias("text")), work, "documents long, terms long")
+    row = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("documents", "terms")]).first()
     return Totals(row["documents"], row["terms"])
 
 

@@ -293,13 +293,12 @@ def _diff() -> str:
         return f"CAST({side}.{name} AS VARCHAR)"
 
     fields = " UNION ALL ".join(
-        f"SELECT b.id, '{n}' AS field, {shown('b', n)} AS \"left\", {shown('k', n)} AS \"right\" FROM b JOIN k ON k.id = b.id AND k.broad_ok"
+        f"SELECT b.id, '{n}' AS field, {shown('b', n)} AS \"left\", {shown('k', n)} AS \"right\" FROM b JOIN k ON k.id = b.id"
         for n in DIFF_FIELDS
     )
     return with_(TENDERS, NORMAL, classified(CURRENT_RULES, "b"), classified(CANDIDATE_RULES, "k")) + f"""
 SELECT * FROM (
   {fields}
-  UNION ALL SELECT b.id, 'present', 'true', 'false' FROM b JOIN k ON k.id = b.id AND NOT k.broad_ok
 ) WHERE "left" IS DISTINCT FROM "right" """
 
 
@@ -436,6 +435,18 @@ FROM given l JOIN f ON f.id = l.tender_id""",
         "search_fields_page": t
         + f"""SELECT id, {PAGE}, koha_zhvillimit FROM tenders WHERE {_like('autoriteti_kontraktues', 'autoriteti e')}
   AND {_like('kodi_cpv_raw', '7')} AND {_like('koha_zhvillimit', 'muaji 1')} ORDER BY data_iso, id LIMIT 100""",
+        "search_indexed": t
+        + f"""SELECT id, {PAGE} FROM tenders WHERE ({_like('objekti_procedurave', 'que')} OR {_like('autoriteti_kontraktues', 'que')}
+  OR {_like('kodi_cpv_raw', 'que')}) AND {_like('autoriteti_kontraktues', 'iteti es')} AND {_like('kodi_cpv_raw', '12')}""",
+        "search_indexed_page": with_(*CLASSIFIED, LABELS, LAST_ONE)
+        + f"""SELECT p.id, {PAGE}, score, confidence, l.label AS latest_label FROM (
+  SELECT t.*, score, confidence FROM c JOIN tenders t ON t.id = c.id WHERE broad_ok AND ({_like('objekti_procedurave', 'tion')}
+    OR {_like('autoriteti_kontraktues', 'tion')} OR {_like('kodi_cpv_raw', 'tion')})
+  ORDER BY {TIER} DESC, score DESC, data_iso, t.id LIMIT 25 OFFSET 25) p LEFT JOIN last_one l ON l.tender_id = p.id""",
+        "search_deep_page": t
+        + """SELECT position, id, data_iso, kodi_cpv_raw FROM (
+  SELECT *, row_number() OVER (ORDER BY data_iso DESC NULLS LAST, id DESC) AS position, count(*) OVER () // 2 // 25 * 25 AS skipped FROM tenders)
+WHERE position > skipped AND position <= skipped + 25""",
         "search_reviewer": with_(TENDERS, LABELS, LAST_ONE)
         + f"""SELECT id, autoriteti_kontraktues FROM tenders
 WHERE id IN (SELECT tender_id FROM last_one WHERE {_like('reviewer', 'analyst 3')})""",
@@ -518,7 +529,9 @@ WHERE snapshot_score <> current_score OR snapshot_confidence <> current_confiden
             TENDERS,
             HASHED,
             loaded("base", "data_iso <= '2024-06-01'"),
-            f"batch AS ({first_of('hashed', half_year)})",
+            f"""hits AS (SELECT CAST(page_fetched AS BIGINT) AS page, bool_or(coalesce({half_year}, FALSE)) AS matched FROM tenders GROUP BY 1)""",
+            """visits AS (SELECT page, sum(CASE WHEN matched THEN 0 ELSE 1 END) OVER (ORDER BY page ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS run FROM hits)""",
+            f"batch AS ({first_of('hashed', half_year + ' AND CAST(page_fetched AS BIGINT) <= coalesce((SELECT min(page) FROM visits WHERE run = 3), 9223372036854775807)')})",
             f"fresh AS (SELECT (SELECT max(nr) FROM base) + row_number() OVER (ORDER BY {ARRIVAL}, source_hash) AS nr, * "
             "FROM batch WHERE source_hash NOT IN (SELECT source_hash FROM base))",
         )

@@ -99,8 +99,7 @@ def result_diff(spark, sf):
     def side(prefix):
         return table.select("id", *[F.col(prefix + k).alias(k) for k in quality.DIFF_KEYS])
 
-    # the right table only lists accepted rows, so some keys are on one side only
-    return quality.result_diff(side("l_"), side("r_").filter("broad_ok"), "id")
+    return quality.result_diff(side("l_"), side("r_"), "id")
 
 
 # --- scalar functions -------------------------------------------------------------
@@ -384,6 +383,32 @@ def search_fields_page(spark, sf):
     return _page_columns(result, "koha_zhvillimit")
 
 
+def _index(spark: SparkSession, sf: str):
+    index = search.tender_index(spark, new_path(spark, "trigrams"))
+    index.append(a.tenders(spark, sf))
+    return index
+
+
+@query
+def search_indexed(spark, sf):
+    """Text filters over several fields through the trigram index."""
+    found = search.matching(_index(spark, sf), q="  QUE ", authority="iteti ES", cpv="12")
+    return found.select("id", "data_iso", "autoriteti_kontraktues", "kodi_cpv_raw")
+
+
+@query
+def search_indexed_page(spark, sf):
+    result = search.search_page(_index(spark, sf), a.labels(spark, sf), q="Tion", sort="oldest", software="broad", rules=a.CURRENT_RULES, page=2)
+    return _page_columns(result, "latest_label")
+
+
+@query
+def search_deep_page(spark, sf):
+    """The page in the middle of all tenders, newest first."""
+    pages = search.search_pages(a.tenders(spark, sf))
+    return pages.page(pages.total() // 2 // 25 + 1, 25).select(F.col("_row").alias("position"), "id", "data_iso", "kodi_cpv_raw")
+
+
 @query
 def search_reviewer(spark, sf):
     found = search.matching(a.tenders(spark, sf), a.labels(spark, sf), reviewer="analyst 3")
@@ -587,12 +612,12 @@ def bootstrap_ingest(spark, sf):
 
 @query
 def daily_ingest(spark, sf):
-    """A daily run on a store that ends on 1 June adds only what was published since."""
+    """A daily run on a store that ends on 1 June adds only what was published since, up to three pages in a row without any."""
     store = TenderStore(spark, new_path(spark, "store"))
     rows = a.tenders(spark, sf)
     upper = datetime(2024, 6, 30, 12, 0)
     store.append(rows.filter(F.col("data_iso") <= "2024-06-01").drop("id"), RUN_TIME)
-    run_ingest(store, a.stored_pages(spark, sf), "daily", "2025", upper, seen_at=upper, stale_pages=10**6)
+    run_ingest(store, a.stored_pages(spark, sf), "daily", "2025", upper, seen_at=upper)
     return _stored(store.tenders())
 
 

@@ -10,6 +10,7 @@ from tenderloom.operators.classify import classify_many
 from tenderloom.operators.labels import latest_labels
 from tenderloom.rules import RuleSet
 from tenderloom.schema import CODE, CONFIDENCE_TIERS, KIND, LABEL_VALUES, TITLE
+from tenderloom.shared import written
 
 # Report order of the modes.
 METRIC_MODES = ("strict", "broad", "near_miss")
@@ -186,24 +187,89 @@ def latest_judgements(labels: DataFrame, tenders: DataFrame, rule_sets: dict[str
     return last.join(results, "tender_id")
 
 
-def result_diff(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """One row per key and field where two classification tables disagree.
+def _shown(name: str) -> Column:
+    """A result as text; lists compare as sets."""
+    value = F.col(name)
+    listed = name.endswith("reasons") or name == "top_signals"
+    return F.array_join(normalized_reasons(value), " | ") if listed else value.cast("string")
 
-    Rows on one side only give a single ``present`` row. Lists compare as sets.
-    """
 
-    def shown(side: str, name: str) -> Column:
-        value = F.col(f"{side}.{name}")
-        listed = name.endswith("reasons") or name == "top_signals"
-        return F.array_join(normalized_reasons(value), " | ") if listed else value.cast("string")
+def row_diff(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One row per key and field where two tables disagree, by a join of both.
+
+    Rows on one side only give a single ``present`` row.
+    """
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(key, *DIFF_KEYS, F.lit(True).alias("_here")).alias(name)
+        return df.select(key, *[_shown(n).alias(n) for n in DIFF_KEYS], F.lit(True).alias("_here")).alias(name)
 
     pairs = side(left, "l").join(side(right, "r"), key, "full_outer")
     here_l, here_r = (F.coalesce(F.col(f"{s}._here"), F.lit(False)) for s in ("l", "r"))
     fields = [("present", here_l.cast("string"), here_r.cast("string"))]
     both = here_l & here_r
-    fields += [(n, F.when(both, shown("l", n)), F.when(both, shown("r", n))) for n in DIFF_KEYS]
+    fields += [(n, F.when(both, F.col(f"l.{n}")), F.when(both, F.col(f"r.{n}"))) for n in DIFF_KEYS]
     cells = F.array(*[F.struct(F.lit(n).alias("field"), a.alias("left"), b.alias("right")) for n, a, b in fields])
     return pairs.select(key, F.inline(cells)).filter(~F.col("left").eqNullSafe(F.col("right")))
+
+
+# Leaves of the checksum tree, and how many of them a parent has.
+DIFF_LEAVES = 1 << 16
+DIFF_FAN = 1 << 8
+
+
+def _leaf(key: str, leaves: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("leaf"), F.col(key)), F.lit(leaves)).cast("int")
+
+
+def block_checksums(df: DataFrame, key: str, leaves: int = DIFF_LEAVES) -> DataFrame:
+    """(leaf, rows, low, high): a checksum per block of keys, which does not depend on the order of rows.
+
+    Sums of both halves of a 64-bit hash over all compared fields; they combine inside each task, so the shuffle has
+    at most ``leaves`` rows per task. Kept next to a result table, they make the next comparison read no rows of equal blocks.
+    """
+    row = F.xxhash64(F.col(key), *[F.coalesce(_shown(n), F.lit("\x00")) for n in DIFF_KEYS])
+    hashed = df.select(_leaf(key, leaves).alias("leaf"), row.alias("_h"))
+    return hashed.groupBy("leaf").agg(
+        F.count("*").alias("rows"),
+        F.sum(F.col("_h").bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
+        F.sum(F.shiftrightunsigned("_h", 32)).alias("high"),
+    )
+
+
+def differing_leaves(left: DataFrame, right: DataFrame, fan: int = DIFF_FAN) -> DataFrame:
+    """(leaf) whose checksums differ, top-down: leaves are compared under parents that differ only."""
+    sums = ("rows", "low", "high")
+
+    def apart(a: DataFrame, b: DataFrame, at: str) -> DataFrame:
+        same = F.lit(True)
+        for n in sums:
+            same = same & F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}"))
+        return a.alias("a").join(b.alias("b"), at, "full_outer").filter(~same).select(at)
+
+    def parents(df: DataFrame) -> DataFrame:
+        # sums of sums may pass 64 bits, so they wrap around at 2^48
+        return df.groupBy(F.floor(F.col("leaf") / fan).cast("int").alias("parent")).agg(
+            F.sum("rows").alias("rows"), *[F.sum(F.col(n).bitwiseAND(F.lit((1 << 48) - 1))).alias(n) for n in ("low", "high")]
+        )
+
+    top = apart(parents(left), parents(right), "parent")
+    under = lambda df: df.withColumn("parent", F.floor(F.col("leaf") / fan).cast("int")).join(top, "parent", "left_semi").drop("parent")
+    return apart(under(left), under(right), "leaf")
+
+
+def result_diff(
+    left: DataFrame, right: DataFrame, key: str, leaves: int = DIFF_LEAVES, checksums: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
+    """One row per key and field where two classification tables disagree.
+
+    Only rows of key blocks whose checksums differ are joined. Both sides are read for the checksums, unless
+    stored ones are given, and once more for the blocks that differ. Rows on one side only give a single
+    ``present`` row. Lists compare as sets.
+    """
+    a, b = checksums or (block_checksums(left, key, leaves), block_checksums(right, key, leaves))
+    blocks = written(differing_leaves(a, b), "differing")
+
+    def rows(df: DataFrame) -> DataFrame:
+        return df.withColumn("leaf", _leaf(key, leaves)).join(blocks, "leaf", "left_semi").drop("leaf")
+
+    return row_diff(rows(left), rows(right), key)

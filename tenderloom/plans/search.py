@@ -5,15 +5,17 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tenderloom.functions.numbers import confidence_rank
 from tenderloom.functions.text import contains_ignoring_ascii_case
 from tenderloom.operators.classify import classify, mode_predicate
 from tenderloom.operators.labels import latest_labels, newest_first
-from tenderloom.operators.ordering import page_slice
+from tenderloom.operators.ordering import SortedPages, page_slice
+from tenderloom.operators.trigrams import TrigramIndex
 from tenderloom.rules import DEFAULT_RULES, RuleSet
 from tenderloom.schema import CONFIDENCE_TIERS, SOFTWARE_MODES, TENDER_COLUMNS
+from tenderloom.shared import written
 
 DEFAULT_PAGE_SIZE = 25
 MAX_PAGE_SIZE = 100
@@ -32,25 +34,33 @@ class SearchResult(NamedTuple):
     totals: DataFrame
 
 
-def text_filters(
-    q: str | None = None,
-    authority: str | None = None,
-    cpv: str | None = None,
-    koha_zhvillimit: str | None = None,
-) -> list[Column]:
-    """Literal substring filters; blank ones are ignored."""
-    wanted = (
-        (q, ("objekti_procedurave", "autoriteti_kontraktues", "kodi_cpv_raw")),
-        (authority, ("autoriteti_kontraktues",)),
-        (cpv, ("kodi_cpv_raw",)),
-        (koha_zhvillimit, ("koha_zhvillimit",)),
-    )
-    filters = []
-    for needle, columns in wanted:
-        if needle and needle.strip():
-            found = [contains_ignoring_ascii_case(F.col(c), needle.strip()) for c in columns]
-            filters.append(reduce(lambda a, b: a | b, found))
-    return filters
+# What each text filter looks at, and all of these fields once.
+SEARCHED = {
+    "q": ("objekti_procedurave", "autoriteti_kontraktues", "kodi_cpv_raw"),
+    "authority": ("autoriteti_kontraktues",),
+    "cpv": ("kodi_cpv_raw",),
+    "koha_zhvillimit": ("koha_zhvillimit",),
+}
+SEARCHED_FIELDS = ("objekti_procedurave", "autoriteti_kontraktues", "kodi_cpv_raw", "koha_zhvillimit")
+
+
+def needles(**texts: str | None) -> list[tuple[str, tuple[str, ...]]]:
+    """(needle, fields) of the text filters that are not blank."""
+    if unknown := texts.keys() - SEARCHED.keys():
+        raise TypeError(f"unknown text filters {sorted(unknown)}")
+    return [(texts[f].strip(), columns) for f, columns in SEARCHED.items() if texts.get(f) and texts[f].strip()]
+
+
+def text_filters(**texts: str | None) -> list[Column]:
+    """Literal substring filters ``q``, ``authority``, ``cpv`` and ``koha_zhvillimit``; blank ones are ignored."""
+    return [
+        reduce(lambda a, b: a | b, [contains_ignoring_ascii_case(F.col(c), needle) for c in columns]) for needle, columns in needles(**texts)
+    ]
+
+
+def tender_index(spark: SparkSession, path: str, **sizes: int) -> TrigramIndex:
+    """The trigram index that text filters use instead of a scan."""
+    return TrigramIndex(spark, path, SEARCHED_FIELDS, **sizes)
 
 
 def reviewed_by(tenders: DataFrame, labels: DataFrame | None, reviewer: str | None) -> DataFrame:
@@ -78,7 +88,7 @@ def result_order(sort: str, software: str) -> list[Column]:
 
 
 def matching(
-    tenders: DataFrame,
+    tenders: DataFrame | TrigramIndex,
     labels: DataFrame | None = None,
     *,
     software: str = "none",
@@ -89,13 +99,14 @@ def matching(
 ) -> DataFrame:
     """All filters; text and reviewer filters run before the classification.
 
-    The confidence filter only applies together with a software mode (P10).
+    The confidence filter only applies together with a software mode (P10). With a trigram index
+    in place of the table, only blocks that may hold the texts are read; the rows are the same.
     """
     if software not in ("none", *SOFTWARE_MODES):
         raise ValueError(f"unknown software mode {software!r}")
     if confidence not in (None, "any", *CONFIDENCE_TIERS):
         raise ValueError(f"unknown confidence {confidence!r}")
-    found = tenders
+    found = tenders.candidates(needles(**texts)) if isinstance(tenders, TrigramIndex) else tenders
     for condition in text_filters(**texts):
         found = found.filter(condition)
     found = reviewed_by(found, labels, reviewer)
@@ -118,8 +129,17 @@ def with_latest_label(items: DataFrame, labels: DataFrame) -> DataFrame:
     return items.join(F.broadcast(renamed), "id", "left")
 
 
+def search_pages(
+    tenders: DataFrame | TrigramIndex, labels: DataFrame | None = None, *, sort: str = "newest", software: str = "none", **filters
+) -> SortedPages:
+    """All matching tenders in order, for pages of any depth."""
+    found = matching(tenders, labels, software=software, **filters)
+    extra = RESULT_COLUMNS if software != "none" else ()
+    return SortedPages(found.select("id", *TENDER_COLUMNS, *extra), result_order(sort, software))
+
+
 def search_page(
-    tenders: DataFrame,
+    tenders: DataFrame | TrigramIndex,
     labels: DataFrame | None = None,
     *,
     page: int = 1,
@@ -130,8 +150,8 @@ def search_page(
 ) -> SearchResult:
     """One page of matching tenders with their latest labels, and the totals.
 
-    The page holds at most 100 rows and is kept cached, because both the label
-    lookup and the result read it.
+    The page holds at most 100 rows and is written, because both the label
+    lookup and the result read it. ``search_pages`` serves a result that is paged through.
     """
     if page < 1 or not 1 <= page_size <= MAX_PAGE_SIZE:
         raise ValueError(f"pages count from 1 and hold 1 to {MAX_PAGE_SIZE} rows")
@@ -140,7 +160,7 @@ def search_page(
     order = result_order(sort, software)
     items = page_slice(found.select("id", *TENDER_COLUMNS, *extra), order, page, page_size)
     if labels is not None:
-        items = with_latest_label(items.persist(), labels)
+        items = with_latest_label(written(items, "page"), labels)
     return SearchResult(items.orderBy(*order), page_totals(found, page_size))
 
 

@@ -12,10 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenderloom.operators import extract, labels as lab, quality
-from tenderloom.operators.classify import classify
+from tenderloom.operators.classify import classify, classify_many
 from tenderloom.plans import export, reports, search
 from tenderloom.rules import DEFAULT_RULES
 from tenderloom.schema import CODE, KIND, TENDER_COLUMNS, TITLE
+from tenderloom.shared import written
 from tenderloom.sources import sinks, tables
 
 SOFT, BUNDLE, NEAR, OTHER = (
@@ -201,6 +202,27 @@ def test_validation_and_samples(tenders):
     assert ids(report["sample_excluded_titles"]) == [2, 5]
 
 
+def test_diff_by_blocks_equals_the_whole_join(spark, make_tenders):
+    titles = ["sistem informatik", "software", "mirembajtje", "kompjuter", "laborator"]
+    rows = make_tenders(*[{TITLE: f"{titles[i % 5]} {i}", "kodi_cpv_raw": f"48{i:06d}-1"} for i in range(300)])
+    left = written(classify(rows).filter("id <> 77"), "left")
+    other = replace(DEFAULT_RULES, include_keyword_patterns=(r"\bkompjuter\b",))
+    changed = classify_many(rows.filter("id % 50 = 0"), {"": other})
+    right = written(classify(rows).filter("id % 50 <> 0 and id <> 3").select("id", *quality.DIFF_KEYS).unionByName(changed.select("id", *quality.DIFF_KEYS)), "right")
+    want = {tuple(r) for r in quality.row_diff(left, right, "id").collect()}
+    assert {(r[0], r[1]) for r in want} >= {(77, "present"), (3, "present")}
+    for leaves in (1, 7, 1 << 16):
+        sums = tuple(quality.block_checksums(t, "id", leaves) for t in (left, right))
+        for given in (None, sums):
+            assert {tuple(r) for r in quality.result_diff(left, right, "id", leaves, given).collect()} == want
+    found = quality.differing_leaves(*(quality.block_checksums(t, "id") for t in (left, right))).count()
+    assert found == len({r[0] for r in want})
+    twice = left.unionByName(left.filter("id = 5"))
+    assert quality.differing_leaves(*(quality.block_checksums(t, "id") for t in (left, twice))).count() == 1
+    assert quality.result_diff(left, left.orderBy("id"), "id").count() == 0
+    assert quality.result_diff(left.limit(0), right.limit(0), "id").count() == 0
+
+
 def test_result_diff(tenders):
     left = classify(tenders)
     right = classify(tenders.filter("id <> 4"), replace(DEFAULT_RULES, near_miss_keyword_patterns=(r"\bnever\b",)))

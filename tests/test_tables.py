@@ -32,21 +32,61 @@ def test_numbering_with_one_hot_key(spark):
 
 def test_running_totals_across_blocks(spark):
     rng = random.Random(4)
-    keys = sorted(rng.sample(range(0, 3 * ordering.BLOCK), 500) + [20_000_000, 2**31 - 1])
-    df = spark.createDataFrame([(k, k % 5) for k in keys], "k int, v int").repartition(4)
-    got = {r["k"]: (r["n"], r["s"]) for r in ordering.running_totals(df, "k", {"n": F.lit(1), "s": F.col("v")}).collect()}
-    total = 0
-    for n, k in enumerate(keys, 1):
-        total += k % 5
-        assert got[k] == (n, total)
+    spread = [rng.randrange(2**rng.randrange(20, 63)) for _ in range(300)]
+    keys = sorted({*rng.sample(range(0, 3 * ordering.BLOCK), 500), 20_000_000, 2**31 - 1, 2**62, 2**62 - 1, *spread})
+    for some in (keys, keys[:400], [0], []):
+        df = spark.createDataFrame([(k, k % 5) for k in some], "k long, v int").repartition(4)
+        got = {r["k"]: (r["n"], r["s"]) for r in ordering.running_totals(df, "k", {"n": F.lit(1), "s": F.col("v")}).collect()}
+        total = 0
+        assert len(got) == len(some)
+        for n, k in enumerate(some, 1):
+            total += k % 5
+            assert got[k] == (n, total)
 
 
-def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
-    df = spark.range(1000).withColumn("k", F.col("id") % 7)
+def test_numbering_evaluates_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(1000).mapInArrow(count, "id long")
+    assert ordering.number_rows(df, [F.desc("id")], "nr").filter("nr = 1").first()["id"] == 999
+    assert seen.value == 1000
+
+
+def test_pages_of_any_depth_equal_a_sorted_list(spark):
+    df = spark.range(1000).withColumn("k", F.col("id") % 7).repartition(5)
     order = [F.desc("k"), F.asc("id")]
-    shallow = [r["id"] for r in ordering.page_slice(df, order, 9, 30).collect()]
-    monkeypatch.setattr(ordering, "TOP_K_ROWS", 10)
-    assert [r["id"] for r in ordering.page_slice(df, order, 9, 30).collect()] == shallow
+    want = [r["id"] for r in sorted(df.collect(), key=lambda r: (-r["k"], r["id"]))]
+    pages = ordering.SortedPages(df, order)
+    assert pages.total() == 1000
+    for page in (1, 2, 9, 17, 33, 34, 35):
+        rows = sorted(pages.page(page, 30).collect(), key=lambda r: r["_row"])
+        assert [r["id"] for r in rows] == want[(page - 1) * 30 : page * 30]
+        assert [r["_row"] for r in rows] == list(range((page - 1) * 30 + 1, min(page * 30, 1000) + 1))[: len(rows)]
+        assert page > 9 or [r["id"] for r in ordering.page_slice(df, order, page, 30).collect()] == want[(page - 1) * 30 : page * 30]
+    assert ordering.SortedPages(df.limit(0), order).page(1, 30).count() == 0
+
+
+def test_a_deep_page_reads_one_or_two_files_and_few_rows(spark):
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pages = ordering.SortedPages(spark.range(200_000).withColumn("r", F.xxhash64("id")), [F.asc("r")])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert pages.index.count() == 16
+    page = pages.page(7777, 25)
+    assert len(page.inputFiles()) in (1, 2)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "TakeOrdered" not in plan and "GreaterThanOrEqual(_pos" in plan
+    first = page.agg(F.min("_row"), F.max("_row"), F.count("*")).first()
+    assert tuple(first) == (7776 * 25 + 1, 7777 * 25, 25)
 
 
 def sample(title, page=1, row=0, **more):

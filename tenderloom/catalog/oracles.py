@@ -549,4 +549,25 @@ UNION ALL SELECT nr, {STORED}, '2024-06-30 12:00:00', '2024-06-30 12:00:00' FROM
   (SELECT count(*) FROM last_ties WHERE {used}) AS feedback_labels_used
 FROM c JOIN base b ON b.id = c.id""",
         "streaming_upsert": with_(TENDERS, HASHED, loaded("base", "TRUE")) + stored,
+        "streaming_resume": with_(TENDERS, HASHED, loaded("base", "TRUE")) + stored,
+        "store_merge": merged("2024-06-02 00:00:00"),
+        "streaming_daily": with_(
+            TENDERS,
+            HASHED,
+            loaded("base", "data_iso <= '2024-06-01'"),
+            f"batch AS ({first_of('hashed', half_year)})",
+            f"fresh AS (SELECT (SELECT max(nr) FROM base) + row_number() OVER (ORDER BY {ARRIVAL}, source_hash) AS nr, * "
+            "FROM batch WHERE source_hash NOT IN (SELECT source_hash FROM base))",
+        )
+        + f"""SELECT nr AS id, {STORED}, '2024-06-01 00:00:00' AS first_seen_at,
+  CASE WHEN source_hash IN (SELECT source_hash FROM batch) THEN '2024-06-30 12:00:00' ELSE '2024-06-01 00:00:00' END AS last_seen_at FROM base
+UNION ALL SELECT nr, {STORED}, '2024-06-30 12:00:00', '2024-06-30 12:00:00' FROM fresh""",
+        "streaming_dedupe": with_(TENDERS, HASHED).rstrip()
+        + """, seen AS (
+  SELECT source_hash, bool_or(id % 4 = 0) AS h0, bool_or(id % 4 = 1) AS h1, bool_or(id % 4 = 2) AS h2, bool_or(id % 4 = 3) AS h3
+  FROM hashed WHERE NOT (id % 4 = 3 AND id % 50 = 7) GROUP BY 1),
+first_two AS (SELECT *, h1 AND NOT h0 AS k1 FROM seen),
+three AS (SELECT *, h2 AND NOT k1 AS k2 FROM first_two)
+SELECT source_hash, 0 AS part FROM three WHERE h0 UNION ALL SELECT source_hash, 1 FROM three WHERE k1
+UNION ALL SELECT source_hash, 2 FROM three WHERE k2 UNION ALL SELECT source_hash, 3 FROM three WHERE h3 AND NOT k2""",
     }

@@ -5,19 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tenderloom.catalog import adapters as a
 from tenderloom.functions import dates, numbers, reasons, text
 from tenderloom.operators import dedupe, extract, labels as lab, ordering, quality, windows
 from tenderloom.operators.classify import classify, classify_many
+from tenderloom.operators.dedupe import HASH, fingerprinted
 from tenderloom.operators.store import TenderStore
 from tenderloom.plans import export, reports, search
 from tenderloom.plans.ingest import run_ingest
 from tenderloom.rules import DEFAULT_RULES
 from tenderloom.schema import TENDER_COLUMNS, TITLE
 from tenderloom.shared import new_path, written
-from tenderloom.streaming.ingest import upsert_stream
+from tenderloom.streaming.daily import daily_stream, load_stream
+from tenderloom.streaming.ingest import upsert_stream, without_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -639,3 +642,88 @@ def streaming_upsert(spark, sf):
     stream = upsert_stream(a.tenders_of(source).drop("id"), store, path + "/checkpoint", clock=lambda: RUN_TIME)
     stream.awaitTermination()
     return _stored(store.tenders())
+
+
+@query
+def store_merge(spark, sf):
+    """The merge of ``upsert_merge`` through the store: bucketed, filtered by Bloom filters, compacted in between."""
+    store = TenderStore(spark, new_path(spark, "store"))
+    rows = a.tenders(spark, sf)
+    store.append(rows.filter(windows.of_year("2024")).drop("id"), datetime.fromisoformat(BASE_TIME))
+    store.compact()
+    store.append(rows.drop("id"), datetime.fromisoformat(MERGE_TIME))
+    store.compact()
+    return _stored(store.tenders())
+
+
+class _Interrupted(RuntimeError):
+    pass
+
+
+class _InterruptedStore(TenderStore):
+    """Loses its first batch between the write and the publication."""
+
+    def _publish(self, folder: str, name: str, attempt: str) -> None:
+        raise _Interrupted(name)
+
+
+@query
+def streaming_resume(spark, sf):
+    """A stream that fails before it publishes its first batch and is started again with the same checkpoint."""
+    path = new_path(spark, "stream")
+
+    def drain(store: TenderStore) -> None:
+        schema = a.table(spark, sf, "documents").schema
+        source = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+        upsert_stream(a.tenders_of(source).drop("id"), store, path + "/checkpoint", clock=lambda: RUN_TIME).awaitTermination()
+
+    try:
+        drain(_InterruptedStore(spark, path + "/store"))
+    except StreamingQueryException as error:
+        if "_Interrupted" not in str(error):
+            raise
+    store = TenderStore(spark, path + "/store")
+    drain(store)
+    return _stored(store.tenders())
+
+
+@query
+def streaming_daily(spark, sf):
+    """A first load up to 1 June, then a run over all tenders that starts from the mark in the state store."""
+    path = new_path(spark, "stream")
+    store, upper = TenderStore(spark, path + "/store"), datetime(2024, 6, 30, 12, 0)
+    rows = a.tenders(spark, sf).drop("id")
+
+    def source():
+        return spark.readStream.schema(rows.schema).parquet(path + "/in")
+
+    rows.filter(F.col("data_iso") <= "2024-06-01").write.parquet(path + "/in")
+    load_stream(source(), store, path, clock=lambda: RUN_TIME)
+    rows.write.mode("append").parquet(path + "/in")
+    daily_stream(source(), store, path, "2025", upper, clock=lambda: upper)
+    return _stored(store.tenders())
+
+
+DEDUPE_PARTS = 4
+
+
+@query
+def streaming_dedupe(spark, sf):
+    """Repeats of a fingerprint within twelve hours are dropped by the state store, in one run per part of the tenders.
+
+    A part arrives a day after the one before, so the state of a part is still there for the next one and gone for those
+    after it. Every fiftieth tender of the last part carries a time of the first day, which is behind the watermark.
+    """
+    path = new_path(spark, "stream")
+    part = F.col("id") % DEDUPE_PARTS
+    late = (part == DEDUPE_PARTS - 1) & (F.col("id") % 50 == 7)
+    seconds = F.when(late, 0).otherwise(part) * 86400 + F.length(TITLE) % 3600
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + seconds)
+    rows = fingerprinted(a.tenders(spark, sf)).select(HASH, part.cast("int").alias("part"), at.alias("at"))
+    for number in range(DEDUPE_PARTS):
+        rows.filter(F.col("part") == number).write.mode("append").parquet(path + "/in")
+        source = spark.readStream.schema(rows.schema).parquet(path + "/in")
+        kept = without_repeats(source, "at", "12 hours").select(HASH, "part")
+        writer = kept.writeStream.format("parquet").option("checkpointLocation", path + "/checkpoint")
+        writer.trigger(availableNow=True).start(path + "/out").awaitTermination()
+    return spark.read.parquet(path + "/out")

@@ -8,10 +8,11 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tenderloom.operators import dedupe, ordering, windows
+from tenderloom.operators import dedupe, ordering, store as store_module, windows
 from tenderloom.operators.store import ConcurrentBatchError, TenderStore
 from tenderloom.plans.ingest import run_ingest
 from tenderloom.schema import PAGE_SCHEMA, TENDER_COLUMNS, TITLE
+from tenderloom.streaming.daily import daily_stream, load_stream, stored_mark
 from tenderloom.streaming.ingest import upsert_stream, without_repeats
 
 T1, T2, T3 = datetime(2031, 1, 1), datetime(2031, 1, 2), datetime(2031, 1, 3)
@@ -139,6 +140,28 @@ def test_second_of_two_writers_fails_and_can_append_again(spark, make_tenders, t
     assert sorted(r.id for r in one.tenders().select("id").collect()) == [1, 2, 3]
 
 
+class FailingStore(TenderStore):
+    """Fails once, right before or after a step of its first batch."""
+
+    def __init__(self, spark, path, step):
+        super().__init__(spark, path)
+        self.step = step
+
+    def _fail_at(self, step):
+        if self.step == step:
+            self.step = None
+            raise RuntimeError("injected")
+
+    def _write(self, df, part, batch_id, attempt, *by):
+        super()._write(df, part, batch_id, attempt, *by)
+        self._fail_at(part)
+
+    def _publish(self, folder, name, attempt):
+        self._fail_at("publish")
+        super()._publish(folder, name, attempt)
+        self._fail_at("after")
+
+
 def test_store_equals_merge_and_hides_unfinished_batches(spark, make_tenders, tmp_path):
     store = TenderStore(spark, str(tmp_path / "store"))
     assert store.tenders().count() == 0
@@ -152,10 +175,10 @@ def test_store_equals_merge_and_hides_unfinished_batches(spark, make_tenders, tm
     broken = TenderStore(spark, store.path)
     write = broken._write
 
-    def fail_on_runs(df, part, batch_id, attempt):
+    def fail_on_runs(df, part, batch_id, attempt, *by):
         if part == "runs":
             raise Lost
-        write(df, part, batch_id, attempt)
+        write(df, part, batch_id, attempt, *by)
 
     broken._write = fail_on_runs
     try:
@@ -290,6 +313,105 @@ def test_stream_equals_batch_and_resumes(spark, make_tenders, tmp_path):
     assert store.runs().count() == 3
 
 
+def test_a_batch_reads_only_files_that_may_hold_its_keys(spark, make_tenders, tmp_path):
+    store = TenderStore(spark, str(tmp_path / "store"))
+    batches = [make_tenders(*[sample(f"{b} {i}", b, i) for i in range(60)], ids=False) for b in range(3)]
+    for rows in batches:
+        store.append(rows, T1)
+    every = len(store.rows().inputFiles())
+    fresh = dedupe.fingerprinted(make_tenders(*[sample(f"new {i}", 9, i) for i in range(5)], ids=False))
+    old = dedupe.fingerprinted(make_tenders(sample("1 7", 1, 7), sample("new", 9), ids=False))
+    assert every >= 40 and len(store.holding(fresh)) <= 2  # false hits are rare
+    held = store.holding(old)
+    digit = old.filter(F.col(TITLE) == "1 7").first()["source_hash"][0]
+    assert any("batch_id=1/" in f and f.endswith(f"bucket={digit}") for f in held) and len(held) <= 3
+    assert [r["source_hash"] for r in store.known(old).collect()] == [old.filter(F.col(TITLE) == "1 7").first()["source_hash"]]
+    assert store.known(fresh).count() == 0
+    for rows in batches:  # no stored key is ever missed
+        assert store.known(dedupe.first_wins(rows)).count() == 60
+
+
+def test_compaction_keeps_the_table_and_its_readers(spark, make_tenders, tmp_path):
+    store = TenderStore(spark, str(tmp_path / "store"))
+    store.compact()
+    for b, now in enumerate((T1, T2, T3)):
+        store.append(make_tenders(*[sample(f"{i}", 1, i) for i in range(b, b + 20)], ids=False), now)
+    before, files = table_of(store.tenders()), len(store.rows().inputFiles())
+    reader = store.tenders()
+    store.compact()
+    assert table_of(store.tenders()) == before == table_of(reader)
+    merged = store._published("rows", store_module.ROWS_SCHEMA).select("batch_id", "attempt", "bucket").distinct().collect()
+    assert len(merged) <= 16 < files
+    store.compact()  # nothing new: stays as it is
+    assert store._named("compacted").count() == 1
+    run = store.append(make_tenders(sample("3"), sample("99"), ids=False), T3)
+    assert (run["batch_id"], run["rows_inserted"], run["duplicates_skipped"]) == (3, 1, 1)
+    assert set(table_of(store.tenders())) == {*before, "99"} and store.runs().count() == 4
+    store.compact()
+    assert table_of(store.tenders())["99"][0] == 23 and len(table_of(store.tenders())) == 23
+
+
+def test_an_empty_published_file_heals_itself(spark, make_tenders, tmp_path):
+    store = TenderStore(spark, str(tmp_path / "store"))
+    store.append(make_tenders(sample("a"), ids=False), T1)
+    (tmp_path / "store" / "published" / "1").touch()
+    assert set(table_of(store.tenders())) == {"a"}
+    assert store.append(make_tenders(sample("b"), ids=False), T2)["batch_id"] == 1
+    assert set(table_of(store.tenders())) == {"a", "b"}
+    other = TenderStore(spark, store.path)
+    with pytest.raises(store_module.ConcurrentBatchError):
+        other._publish("published", "1", "late")
+    assert not [f for f in (tmp_path / "store" / "published").iterdir() if f.name.startswith("_")]
+
+
+@pytest.mark.parametrize("step", ["rows", "blooms", "seen", "runs", "publish", "after"])
+def test_a_stream_resumes_after_a_failure_at_any_step(spark, make_tenders, tmp_path, step):
+    source, checkpoint = str(tmp_path / "in"), str(tmp_path / "checkpoint")
+    parts = [make_tenders(sample("a"), sample("b", 2), ids=False), make_tenders(sample("b"), sample("c", 3), ids=False)]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(source)
+    schema = parts[0].schema
+    broken = FailingStore(spark, str(tmp_path / "store"), step)
+
+    def drain(store):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        upsert_stream(stream, store, checkpoint, clock=lambda: T1).awaitTermination()
+
+    with pytest.raises(Exception, match="injected"):
+        drain(broken)
+    store = TenderStore(spark, broken.path)
+    drain(store)
+    drain(store)
+    batch = dedupe.merge(dedupe.first_load(parts[0], stamp(T1)), parts[1], stamp(T1))
+    assert table_of(store.tenders()) == table_of(batch)
+    assert store.runs().count() == 2
+
+
+def test_daily_stream_starts_from_the_mark_of_the_run_before(spark, make_tenders, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "stream")
+    store = TenderStore(spark, str(tmp_path / "store"))
+
+    def dated(title, day, time=""):
+        return sample(title, data_iso=day, ora_publikimit=time, viti=day[:4])
+
+    def records():
+        return spark.readStream.schema(schema).parquet(source)
+
+    first = make_tenders(dated("a", "2031-01-02", "09:00"), dated("b", "2031-01-01"), dated("x", "2030-05-05"), ids=False)
+    schema = first.schema
+    first.write.parquet(source)
+    load_stream(records(), store, path, clock=lambda: T1)
+    make_tenders(dated("late", "2031-01-01", "08:00"), dated("edge", "2031-01-02", "09:00"), dated("d", "2031-01-03", "08:00"), dated("y", "2030-06-06"), ids=False).write.mode("append").parquet(source)
+    assert daily_stream(records(), store, path, "2031", datetime(2031, 1, 3, 12), clock=lambda: T2) == datetime(2031, 1, 2, 9)
+    make_tenders(dated("older", "2031-01-02", "10:00"), dated("e", "2031-01-03", "09:00"), dated("future", "2031-01-09"), ids=False).write.mode("append").parquet(source)
+    assert daily_stream(records(), store, path, "2031", datetime(2031, 1, 4), clock=lambda: T3) == datetime(2031, 1, 3, 8)
+    assert set(table_of(store.tenders())) == {"a", "b", "x", "edge", "d", "e"}
+    assert stored_mark(spark, f"{path}/marks", "2031") == datetime(2031, 1, 3, 9) == windows.high_water_mark(store.rows(), "2031").first()[0]
+    fresh = TenderStore(spark, str(tmp_path / "fresh"))
+    assert daily_stream(records(), fresh, str(tmp_path / "other"), "2031", datetime(2031, 1, 3, 12), clock=lambda: T1) is None
+    assert set(table_of(fresh.tenders())) == {"a", "edge", "older", "d", "e"}
+
+
 def test_stream_prefilter_drops_repeats(spark, make_tenders, tmp_path):
     source = str(tmp_path / "in")
     rows = make_tenders(sample("a"), sample("a", 2), sample("b", 3), ids=False).withColumn("at", F.lit(T1.isoformat(" ")).cast("timestamp"))

@@ -50,6 +50,12 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     return plain.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("n"))
 
 
+def levelled(rows: np.ndarray) -> np.ndarray:
+    """Rows scaled by powers of two so that the largest component lies between a half and one: cosines stay
+    the same bit by bit, and squares of tiny or huge components neither vanish nor overflow."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
+
+
 def _axes(nodes: DataFrame) -> dict[int, np.ndarray]:
     """Principal axes per dimension, from second moments summed over all vectors in the tasks."""
 
@@ -58,7 +64,7 @@ def _axes(nodes: DataFrame) -> dict[int, np.ndarray]:
         ends = np.cumsum(lengths)
         dims, sums = [], []
         for d in np.unique(lengths):
-            picked = np.stack([flat[e - d : e] for e, n in zip(ends, lengths) if n == d])
+            picked = levelled(np.stack([flat[e - d : e] for e, n in zip(ends, lengths) if n == d]))
             picked = picked / np.linalg.norm(picked, axis=1, keepdims=True)
             dims.append(int(d))
             sums.append(np.concatenate([[len(picked)], picked.sum(axis=0), (picked.T @ picked).ravel()]))
@@ -94,7 +100,7 @@ def blocks(nodes: DataFrame, width: float) -> DataFrame:
         cells, places = [], []
         start = 0
         for n in lengths:
-            row = flat[start : start + n]
+            row = levelled(flat[None, start : start + n])[0]
             start += n
             at = np.zeros(AXES)
             own = (row / np.linalg.norm(row)) @ axes[int(n)]
@@ -175,7 +181,7 @@ def _compare(frame: pd.DataFrame, cosine: float) -> pd.DataFrame | None:
     """Per vector of a pair of blocks: how many rows it links to, and edges that keep the components."""
     left = frame["side"].to_numpy() != 2
     right = frame["side"].to_numpy() != 1
-    values = np.stack([np.asarray(v) for v in frame["vector"]])
+    values = levelled(np.stack([np.asarray(v) for v in frame["vector"]]))
     ids, n = frame["id"].to_numpy(), frame["n"].to_numpy()
     norm = np.sqrt((values * values).sum(axis=1))
     x, y = np.flatnonzero(left), np.flatnonzero(right)

@@ -52,6 +52,21 @@ def test_grid_join_equals_brute_force(vectors):
     assert gridjoin.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_grid_join_of_tiny_and_huge_components(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [1.0, 0.5]), (3, [1e-320, 0.0]), (4, [3e300, 1e300]), (5, [3.0, 1.0]), (6, [1e308, 5e307]), (7, [0.0, 1e-310]), (8, [1.0, 1e-12])]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    links = []
+    for i, x in rows:
+        for j, y in rows:
+            p, q = (np.array(v) / max(v) for v in (x, y))
+            if i < j and p @ q / np.sqrt((p @ p) * (q @ q)) >= 0.98:
+                links.append((i, j))
+    assert (1, 8) in links and (1, 2) not in links and (4, 5) in links and (2, 6) in links
+    expected = _components([i for i, _ in rows], links)
+    for r in gridjoin.near_vectors(frame).collect():
+        assert (r["component_id"], r["n_links"]) == (expected[r["vec_id"]], sum(r["vec_id"] in e for e in links))
+
+
 def test_top_k_equals_brute_force(vectors):
     rows, frame = vectors
     scaled = {i: [int(np.floor(256 * x)) for x in v] for i, v, _ in rows if _usable(v)}

@@ -337,6 +337,7 @@ def all_oracles() -> dict[str, str]:
     return {
         "stats_by_mode": c + stats + "c",
         "stats_default_rules": with_(TENDERS, NORMAL, classified(DEFAULT_RULES, "d")) + stats + "d",
+        "stats_maintained": with_(TENDERS, NORMAL, classified(CANDIDATE_RULES, "k")) + stats + "k",
         "classify_flags": c + "SELECT id, broad_ok, exclusion_ok, strict_ok, mixed_ok, near_miss_ok FROM c",
         "reason_lists": c
         + "SELECT id, "

@@ -13,6 +13,7 @@ from tenderloom.functions import dates, numbers, reasons, text
 from tenderloom.operators import dedupe, extract, labels as lab, ordering, quality, windows
 from tenderloom.operators.classify import classify, classify_many
 from tenderloom.operators.dedupe import HASH, fingerprinted
+from tenderloom.operators.statistics import RegistryCounts
 from tenderloom.operators.store import TenderStore
 from tenderloom.plans import export, reports, search
 from tenderloom.plans.ingest import run_ingest
@@ -105,6 +106,18 @@ def result_diff(spark, sf):
     return quality.result_diff(side("l_"), side("r_"), "id")
 
 
+@query
+def stats_maintained(spark, sf):
+    """Statistics after two batches and a change of rules, from deltas alone."""
+    counts = RegistryCounts(spark, new_path(spark, "counts"))
+    rows = a.tenders(spark, sf)
+    first = windows.of_year("2024")
+    counts.add(rows.filter(first), a.CURRENT_RULES, "batch-0")
+    counts.add(rows.filter(~first), a.CURRENT_RULES, "batch-1")
+    counts.change_rules(rows, a.CURRENT_RULES, a.CANDIDATE_RULES, "rules-1")
+    return counts.current()
+
+
 # --- scalar functions -------------------------------------------------------------
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tenderloom.operators import extract, labels as lab, quality
 from tenderloom.operators.classify import classify, classify_many
+from tenderloom.operators.statistics import RegistryCounts, changed_rules
 from tenderloom.plans import export, reports, search
 from tenderloom.rules import DEFAULT_RULES
 from tenderloom.schema import CODE, KIND, TENDER_COLUMNS, TITLE
@@ -202,6 +203,31 @@ def test_validation_and_samples(tenders):
     assert ids(report["sample_excluded_titles"]) == [2, 5]
 
 
+def test_maintained_counts_equal_a_recount(spark, make_tenders, tmp_path):
+    titles = ["software i ri", "riparim kompjuter", "sistem elektronik", "rrjet", "software dhe riparim", "ndertim rruge", ""]
+    rows = make_tenders(*[{TITLE: titles[i % 7], CODE: ["48000000-1", "50310000-1", "30200000-1", "45000000-1"][i % 4]} for i in range(90)])
+    counts = RegistryCounts(spark, str(tmp_path / "counts"))
+    assert tuple(counts.current().first()) == (0, 0, 0, 0)
+    for number in range(3):
+        counts.add(rows.filter(F.col("id") % 3 == number), DEFAULT_RULES, f"batch-{number}")
+    counts.add(rows.filter("id % 3 = 1"), DEFAULT_RULES, "batch-1")  # a repeated batch
+    assert counts.current().first() == search.registry_stats(rows, DEFAULT_RULES).first()
+    steps = [
+        replace(DEFAULT_RULES, include_keyword_patterns=(r"\bsoftware\b", r"\brruge\b"), near_miss_cpv_prefixes=("45",)),
+        replace(DEFAULT_RULES, exclude_keyword_patterns=(r"\briparim\b",), exclude_cpv_prefixes=("48",)),
+        replace(DEFAULT_RULES, near_miss_keyword_patterns=()),
+        DEFAULT_RULES,
+    ]
+    before = DEFAULT_RULES
+    for number, rules in enumerate(steps):
+        counts.change_rules(rows, before, rules, f"rules-{number}")
+        assert counts.current().first() == search.registry_stats(rows, rules).first()
+        before = rules
+    assert changed_rules(DEFAULT_RULES, steps[2]) is None
+    untouched = changed_rules(DEFAULT_RULES, DEFAULT_RULES)
+    assert classify(rows, untouched).filter("broad_ok").count() == 0
+
+
 def test_diff_by_blocks_equals_the_whole_join(spark, make_tenders):
     titles = ["sistem informatik", "software", "mirembajtje", "kompjuter", "laborator"]
     rows = make_tenders(*[{TITLE: f"{titles[i % 5]} {i}", "kodi_cpv_raw": f"48{i:06d}-1"} for i in range(300)])

@@ -47,6 +47,18 @@ CANDIDATE_RULES: RuleSet = replace(
 )
 
 
+# Rules of which some are covered by others, in their own list or another one.
+OVERLAPPING_RULES = replace(
+    CURRENT_RULES,
+    include_keyword_patterns=(r"\bthe\s+and\b", r"\bder\b", r"\bque\w*\b", r"\bque\s+de\b"),
+    exclude_keyword_patterns=(r"\band\b", r"\bder\b"),
+    near_miss_keyword_patterns=(r"\bquel\w*\b", r"\bles\b"),
+    include_cpv_prefixes=("48", "7", "72", "503"),
+    exclude_cpv_prefixes=("503", "5031"),
+    near_miss_cpv_prefixes=("480", "3"),
+)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

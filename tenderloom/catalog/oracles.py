@@ -337,6 +337,19 @@ def all_oracles() -> dict[str, str]:
     return {
         "stats_by_mode": c + stats + "c",
         "stats_default_rules": with_(TENDERS, NORMAL, classified(DEFAULT_RULES, "d")) + stats + "d",
+        "rule_lint": with_(TENDERS, NORMAL)
+        + """, found(kind, subject, list, rule, by_list, by_rule, hit) AS (VALUES
+  ('dead', 'code', 'include', '72', 'include', '7', '\\b72\\d{6}-\\d\\b'),
+  ('conflict', 'code', 'exclude', '503', 'include', '503', '\\b503\\d{5}-\\d\\b'),
+  ('dead', 'code', 'exclude', '5031', 'exclude', '503', '\\b5031\\d{4}-\\d\\b'),
+  ('conflict', 'code', 'exclude', '5031', 'include', '503', '\\b5031\\d{4}-\\d\\b'),
+  ('dead', 'code', 'near_miss', '480', 'include', '48', '\\b480\\d{5}-\\d\\b'),
+  ('dead', 'keyword', 'include', '\\bque\\s+de\\b', 'include', '\\bque\\w*\\b', '\\bque\\s+de\\b'),
+  ('conflict', 'keyword', 'include', '\\bthe\\s+and\\b', 'exclude', '\\band\\b', '\\bthe\\s+and\\b'),
+  ('conflict', 'keyword', 'exclude', '\\bder\\b', 'include', '\\bder\\b', '\\bder\\b'),
+  ('dead', 'keyword', 'near_miss', '\\bquel\\w*\\b', 'include', '\\bque\\w*\\b', '\\bquel\\w*\\b'))
+SELECT kind, subject, list, rule, by_list, by_rule, (SELECT count(*) FROM folded n
+  WHERE CASE subject WHEN 'code' THEN regexp_matches(n.code, hit) ELSE regexp_matches(n.t, hit) END) AS rows FROM found""",
         "stats_maintained": with_(TENDERS, NORMAL, classified(CANDIDATE_RULES, "k")) + stats + "k",
         "classify_flags": c + "SELECT id, broad_ok, exclusion_ok, strict_ok, mixed_ok, near_miss_ok FROM c",
         "reason_lists": c

@@ -15,7 +15,7 @@ from tenderloom.operators.classify import classify, classify_many
 from tenderloom.operators.dedupe import HASH, fingerprinted
 from tenderloom.operators.statistics import RegistryCounts
 from tenderloom.operators.store import TenderStore
-from tenderloom.plans import export, reports, search
+from tenderloom.plans import export, lint, reports, search
 from tenderloom.plans.ingest import run_ingest
 from tenderloom.rules import DEFAULT_RULES
 from tenderloom.schema import TENDER_COLUMNS, TITLE
@@ -118,6 +118,11 @@ def stats_maintained(spark, sf):
     return counts.current()
 
 
+@query
+def rule_lint(spark, sf):
+    return lint.lint(spark, a.tenders(spark, sf), a.OVERLAPPING_RULES)
+
+
 # --- scalar functions -------------------------------------------------------------
 
 

@@ -429,6 +429,11 @@ WHERE visit <= coalesce(cut, visit)""",
         "label_append": with_(*CLASSIFIED, requests)
         + f"""SELECT 500 + row_number() OVER (ORDER BY request_id) AS id, tender_id, label, reviewer, note_length, score, confidence,
   strict_ok, {listed('near_miss_reasons')} AS near_miss FROM requests r JOIN c ON c.id = r.tender_id WHERE label <> 'unsure'""",
+        "streaming_labels": with_(*CLASSIFIED, requests)
+        + """SELECT 500 + row_number() OVER (ORDER BY request_id) AS id, tender_id, label, score, strict_ok, '' AS reason
+FROM requests r JOIN c ON c.id = r.tender_id WHERE label <> 'unsure'
+UNION ALL SELECT -1, tender_id, '', -1, FALSE, CASE WHEN label = 'unsure' THEN 'invalid_label' ELSE 'tender_not_found' END
+FROM requests WHERE label = 'unsure' OR tender_id NOT IN (SELECT id FROM c)""",
         "label_rejects": with_(TENDERS, requests)
         + """SELECT request_id, tender_id, CASE WHEN label = 'unsure' THEN 'invalid_label' ELSE 'tender_not_found' END AS reason
 FROM requests WHERE label = 'unsure' OR tender_id NOT IN (SELECT id FROM tenders)""",

@@ -22,6 +22,7 @@ from tenderloom.schema import TENDER_COLUMNS, TITLE
 from tenderloom.shared import new_path, written
 from tenderloom.streaming.daily import daily_stream, load_stream
 from tenderloom.streaming.ingest import upsert_stream, without_repeats
+from tenderloom.streaming.labels import label_stream, stored_labels, stored_rejects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -338,16 +339,37 @@ def _appended(spark: SparkSession, sf: str) -> lab.AppendedLabels:
     return lab.new_labels(_requests(spark, sf), a.tenders(spark, sf), now, a.CURRENT_RULES, start=500)
 
 
-@query
-def label_append(spark, sf):
+def _accepted_columns(accepted: DataFrame) -> DataFrame:
     s = F.col("snapshot")
-    return _appended(spark, sf).accepted.select(
+    return accepted.select(
         "id", "tender_id", "label", "reviewer", F.coalesce(F.length("note"), F.lit(0)).cast("long").alias("note_length"),
         s["score"].alias("score"), s["confidence"].alias("confidence"), s["strict_ok"].alias("strict_ok"),
         reasons.joined(F.array_sort(s["reasons"]["near_miss"])).alias("near_miss"),
     )
 
 
+@query
+def label_append(spark, sf):
+    return _accepted_columns(_appended(spark, sf).accepted)
+
+
+@query
+def streaming_labels(spark, sf):
+    """The requests of ``label_append`` as a stream in two parts; a row that says whether it was accepted."""
+    path = new_path(spark, "labels")
+    requests = _requests(spark, sf)
+    middle = requests.agg(F.max("request_id")).first()[0] // 2
+    for part in (F.col("request_id") <= middle, F.col("request_id") > middle):
+        requests.filter(part).write.mode("append").parquet(path + "/in")
+        source = spark.readStream.schema(requests.schema).parquet(path + "/in")
+        label_stream(source, a.tenders(spark, sf), path, a.CURRENT_RULES, start=500, clock=lambda: RUN_TIME).awaitTermination()
+    accepted = _accepted_columns(stored_labels(spark, path)).select("id", "tender_id", "label", "score", "strict_ok", F.lit("").alias("reason"))
+    rejected = stored_rejects(spark, path).select(
+        F.lit(-1).cast("long").alias("id"), "tender_id", F.lit("").alias("label"), F.lit(-1).alias("score"), F.lit(False).alias("strict_ok"), "reason"
+    )
+    return accepted.unionByName(rejected)
+
+
 @query
 def label_rejects(spark, sf):
     return _appended(spark, sf).rejected

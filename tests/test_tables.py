@@ -14,6 +14,7 @@ from tenderloom.plans.ingest import run_ingest
 from tenderloom.schema import PAGE_SCHEMA, TENDER_COLUMNS, TITLE
 from tenderloom.streaming.daily import daily_stream, load_stream, stored_mark
 from tenderloom.streaming.ingest import upsert_stream, without_repeats
+from tenderloom.streaming.labels import label_stream, stored_labels, stored_rejects
 
 T1, T2, T3 = datetime(2031, 1, 1), datetime(2031, 1, 2), datetime(2031, 1, 3)
 
@@ -412,6 +413,35 @@ def test_daily_stream_starts_from_the_mark_of_the_run_before(spark, make_tenders
     assert set(table_of(fresh.tenders())) == {"a", "edge", "older", "d", "e"}
 
 
+def test_label_stream_appends_every_request_once(spark, make_tenders, tmp_path):
+    tenders = make_tenders(sample("software"), sample("ndertim", 2), sample("sistem", 3))
+    path, source = str(tmp_path / "labels"), str(tmp_path / "in")
+    schema = "request_id long, tender_id long, label string, reviewer string, note string"
+    fails = {"left": 1}
+
+    def clock():
+        if fails["left"]:
+            fails["left"] -= 1
+            raise RuntimeError("injected")
+        return T1
+
+    def drain(tick, table=tenders):
+        label_stream(spark.readStream.schema(schema).parquet(source), table, path, clock=tick).awaitTermination()
+
+    assert stored_labels(spark, path) is None and stored_rejects(spark, path) is None
+    spark.createDataFrame([(1, 1, "relevant", "a", ""), (2, 9, "relevant", "a", ""), (3, 2, "odd", "a", "")], schema).write.parquet(source)
+    with pytest.raises(Exception, match="injected"):
+        drain(clock)
+    drain(clock)
+    spark.createDataFrame([(4, 3, " maybe ", "b", "n"), (5, 1, "not_relevant", "b", "")], schema).write.mode("append").parquet(source)
+    drain(clock, tenders.withColumn(TITLE, F.lit("software")))  # the classification of the time of the label
+    drain(clock)
+    rows = {r["id"]: r for r in stored_labels(spark, path).collect()}
+    assert {i: (r["tender_id"], r["label"]) for i, r in rows.items()} == {1: (1, "relevant"), 2: (3, "maybe"), 3: (1, "not_relevant")}
+    assert rows[1]["snapshot"]["broad_ok"] and rows[2]["snapshot"]["broad_ok"] and rows[1]["created_at"] == T1
+    assert {(r["request_id"], r["reason"]) for r in stored_rejects(spark, path).collect()} == {(2, "tender_not_found"), (3, "invalid_label")}
+
+
 def test_stream_prefilter_drops_repeats(spark, make_tenders, tmp_path):
     source = str(tmp_path / "in")
     rows = make_tenders(sample("a"), sample("a", 2), sample("b", 3), ids=False).withColumn("at", F.lit(T1.isoformat(" ")).cast("timestamp"))

@@ -201,6 +201,31 @@ def test_fuzzy_passages_with_edits_near_the_ends(make_docs):
         assert r["end_word"] - r["start_word"] >= 50 and r["similarity"] >= 0.8 and abs(r["similarity"] - same) < 0.06
 
 
+@pytest.mark.parametrize("pieces", ["below", "between"])
+def test_fuzzy_passages_whose_pieces_stand_in_other_documents(make_docs, pieces):
+    rng = random.Random(13)
+    fill = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    rows, expected = [], set()
+    for n in range(20):
+        passage = fill(60)
+        low, high, piece = (1000 * n + 500, 1000 * n + 900, 1000 * n + (1 if pieces == "below" else 600))
+        rows += [(low, " ".join(fill(30) + passage + fill(30)), "en", "s"), (high, " ".join(fill(20) + _edited(rng, passage, range(4, 58, 9)) + fill(40)), "en", "s")]
+        rows += [(piece + i, " ".join(fill(40) + passage[8 * i : 8 * i + 8] + fill(40)), "en", "s") for i in range(7)]
+        expected.add((high, low))
+    found = {(r["doc_id"], r["ref_id"]) for r in chaining.fuzzy_passages(make_docs(*rows)).collect()}
+    assert found == expected
+
+
+def test_repeated_ids_and_copies_in_seed_matching(make_docs, monkeypatch):
+    rng = random.Random(17)
+    fill = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    passage = fill(60)
+    own = [" ".join(fill(10 + i) + passage + fill(20)) for i in range(6)]
+    rows = [(i + 1, t, "en", "s") for i, t in enumerate(own)] + [(9, own[0], "en", "s"), (9, own[0], "en", "s"), (7, None, "en", "s"), (None, own[1], "en", "s")]
+    found = {(r["doc_id"], r["ref_id"]) for r in chaining.fuzzy_passages(make_docs(*rows)).collect()}
+    assert found == {(d, 1) for d in range(2, 7)} | {(d, d - 1) for d in range(3, 7)} | {(9, 1)}
+
+
 def test_edit_distance_and_chains_equal_brute_force():
     rng = random.Random(6)
 
